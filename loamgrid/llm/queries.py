@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, packing
+from . import bpe_codec, packing, simhash
 from .common import read
 
 
@@ -17,7 +17,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_simhash": op3_simhash,
     "op8_bpe_codec": op8_bpe_codec,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
