@@ -75,3 +75,23 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], salt_by: str, ho
 def keep(df: DataFrame) -> DataFrame:
     """Cache with spill to disk; only for tables that are cheap to recompute after a loss."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+class Cache:
+    """A bounded dict in two generations: when the new one is full it becomes the old one, and what
+    is still asked for moves back, so frequent entries survive floods of rare ones."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit // 2, {}, {}
+
+    def recall(self, key):
+        """What the old generation knows of a key that the new one lacks."""
+        found = self.old.get(key)
+        if found is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.limit:
+            self.old, self.new = self.new, {}
+        self.new[key] = value

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
+from .word_ids import word_ids
 
 FAN_IN = 8
 #: Items and pieces that one packing call holds at most.
 CHUNK_ITEMS, CHUNK_PARTS = 40_000, 400_000
-CACHE_ENTRIES = 400_000
 
 _PART = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _BINS = pa.schema([("closed", pa.bool_()), ("sequence_id", pa.int64()), ("fill", pa.int32()), ("parts", pa.list_(_PART))])
@@ -105,75 +105,27 @@ def _packer(capacity: int, slack: int, level: int) -> Callable[[Iterator[pa.Reco
     return run
 
 
-class _Ids:
-    """Ids of whole texts as little-endian 32-bit bytes; chunks without white space are cached."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.cache: dict[str, bytes] = {}
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        from .bpe_codec import split_white
-
-        words = [split_white(t) for t in texts]
-        new = list({w for line in words for w in line if w not in self.cache})
-        if len(self.cache) + len(new) > CACHE_ENTRIES:
-            self.cache = {}
-            new = list({w for line in words for w in line})
-        cache = self.cache
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([cache[w] for w in line]) for line in words]
-
-
-_LOADED: dict[str, _Ids] = {}
-
-
-def _ids(path: str) -> _Ids:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _LOADED:
-        _LOADED[path] = _Ids(path)
-    return _LOADED[path]
-
-
 def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """One item per piece: the document's ids and ``end_id``, cut every ``capacity`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = _ids(path), np.array([end_id], "<u4").tobytes()
-
-        def rows(doc_ids: list, texts: list[str]) -> pa.RecordBatch:
-            fills, closed, parts = [], [], []
-            for doc, ids in zip(doc_ids, own.texts(texts)):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    piece = ids[at : at + 4 * capacity]
-                    n = len(piece) // 4
-                    fills.append(n)
-                    closed.append(n == capacity)
-                    parts.append([(doc, k, at // 4, n, zlib.crc32(piece))])
-            parts = [[dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), p[0]))] for p in parts]
-            return pa.RecordBatch.from_arrays([pa.array(closed, pa.bool_()), pa.nulls(len(fills), pa.int64()), pa.array(fills, pa.int32()), pa.array(parts, _BINS.field(3).type)], schema=_BINS)
-
+        own, end = word_ids(path), np.array([end_id], "<u4").tobytes()
+        whole, step = capacity, 4 * capacity
         for batch in batches:
-            doc_ids, texts, size = [], [], 0
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                doc_ids.append(doc.as_py())
-                texts.append(text.as_py())
-                size += len(texts[-1])
-                if size > 4_000_000:
-                    yield rows(doc_ids, texts)
-                    doc_ids, texts, size = [], [], 0
-            if texts:
-                yield rows(doc_ids, texts)
+            docs_of, piece, start, length, crc = [], [], [], [], []
+            for doc, text in zip(batch.column("doc_id"), batch.column("text")):
+                doc, ids = doc.as_py(), own.text(text.as_py()) + end
+                for k, at in enumerate(range(0, len(ids), step)):
+                    part = ids[at : at + step]
+                    docs_of.append(doc)
+                    piece.append(k)
+                    start.append(at // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+            fills = np.array(length, np.int32)
+            columns = [pa.array(docs_of, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            parts = pa.ListArray.from_arrays(pa.array(np.arange(len(fills) + 1, dtype=np.int32)), pa.StructArray.from_arrays(columns, fields=list(_PART)))
+            yield pa.RecordBatch.from_arrays([pa.array(fills == whole), pa.nulls(len(fills), pa.int64()), pa.array(fills), parts], schema=_BINS)
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return source.mapInArrow(run, _BINS_SQL)
