@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Cache
+
 SPACE = "▁"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 PAIR_ENTRIES = 2_000_000
 _UNIT = re.compile("\n|▁*[^▁\n]+|▁+")
 
@@ -50,9 +52,7 @@ class PrefixCounter:
         self.whole = {p for p in self.rank if self._merge(p) == [p]}
         self.longest = max(map(len, self.whole))
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.units: dict[str, tuple[int, ...]] = {}
-        self.totals: dict[str, int] = {}
-        self.limit = cache_entries
+        self.units = Cache(cache_entries)
 
     def _merge(self, text: str) -> list[str]:
         """The encoding of a short text by its merges: best rank first, leftmost among equals."""
@@ -76,6 +76,9 @@ class PrefixCounter:
 
     def unit(self, text: str) -> tuple[int, ...]:
         """Token counts of the prefixes of 1, 2, ... characters of a unit."""
+        found = self.units.recall(text)
+        if found is not None:
+            return found
         counts, last = [0], [""]
         single, whole, longest, fits = self.single, self.whole, self.longest, self._fits
         start = 0  # of the stretch of characters with pieces
@@ -95,11 +98,7 @@ class PrefixCounter:
             last.append(p)
         found = tuple(counts[1:])
         if len(text) <= 64:
-            if len(self.units) >= self.limit:
-                self.units.clear()
-                self.totals.clear()
-            self.units[text] = found
-            self.totals[text] = found[-1]
+            self.units.put(text, found)
         return found
 
     def split(self, text: str) -> list[str]:
@@ -108,7 +107,7 @@ class PrefixCounter:
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Tokens of ``text[:i]`` for i = 1, 2, ...; the last entry is that of the whole text."""
-        get, unit = self.units.get, self.unit
+        get, unit = self.units.new.get, self.unit
         found = [get(u) or unit(u) for u in self.split(text)]
         if not found:
             return np.zeros(0, np.int64)
@@ -118,10 +117,10 @@ class PrefixCounter:
     def count(self, text: str, budget: int) -> tuple[int, int]:
         """Tokens of the text; characters of its longest prefix of at most ``budget`` tokens."""
         units = self.split(text)
-        counts = list(map(self.totals.get, units))
-        if None in counts:
-            counts = [self.unit(u)[-1] if c is None else c for u, c in zip(units, counts)]
-        n = sum(counts)
+        found = list(map(self.units.new.get, units))
+        if None in found:
+            found = [self.unit(u) if f is None else f for u, f in zip(units, found)]
+        n = sum([f[-1] for f in found])
         if n <= budget:
             return n, len(text)
         fits = np.flatnonzero(self.prefix_counts(text) <= budget)
