@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, packing, prefix_tokens, quality_rules, simhash
+from . import bpe_codec, packing, prefix_tokens, quality_classifier, quality_rules, simhash
 from .common import read
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_texts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -33,6 +37,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_prefix_tokens": op2_prefix_tokens,
     "op3_simhash": op3_simhash,
+    "op4_quality_classifier": op4_quality_classifier,
     "op8_bpe_codec": op8_bpe_codec,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
