@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, packing, prefix_tokens, quality_classifier, quality_rules, simhash
+from . import bpe_codec, packing, passages, prefix_tokens, quality_classifier, quality_rules, simhash
 from .common import read
 
 
@@ -13,6 +13,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_texts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op2_prefix_tokens": op2_prefix_tokens,
     "op3_simhash": op3_simhash,
     "op4_quality_classifier": op4_quality_classifier,
+    "op7_passages": op7_passages,
     "op8_bpe_codec": op8_bpe_codec,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
