@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, packing, passages, prefix_tokens, quality_classifier, quality_rules, simhash
+from . import bpe_codec, packing, passages, prefix_tokens, quality_classifier, quality_rules, rp_forest, simhash
 from .common import read
 
 
@@ -21,6 +21,10 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_texts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.nearest(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op7_passages": op7_passages,
     "op8_bpe_codec": op8_bpe_codec,
+    "op9_rp_forest": op9_rp_forest,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
