@@ -94,6 +94,10 @@ class Cache:
             self.put(key, found)
         return found
 
+    def get(self, key):
+        found = self.new.get(key)
+        return self.recall(key) if found is None else found
+
     def put(self, key, value) -> None:
         if len(self.new) >= self.limit:
             self.old, self.new = self.new, {}

@@ -26,6 +26,10 @@ from .common import Cache
 SPACE = "▁"
 CACHE_ENTRIES = 600_000
 PAIR_ENTRIES = 2_000_000
+#: Longer units keep no state per prefix.
+LONG_UNIT = 64
+_ONE = [1]
+_TAIL = ".,;:!?#$%&*|"
 _UNIT = re.compile("\n|▁*[^▁\n]+|▁+")
 
 
@@ -51,8 +55,18 @@ class PrefixCounter:
         #: pieces that the merges reach, by length: only these can end a prefix
         self.whole = {p for p in self.rank if self._merge(p) == [p]}
         self.longest = max(map(len, self.whole))
+        #: lengths of the pieces by their last two characters, long first, down to the last alone
+        self.ends: dict[str, list[int]] = {}
+        for p in sorted(self.whole, key=len, reverse=True):
+            own = self.ends.setdefault(p[-2:], [])
+            if len(p) > 1 and len(p) not in own:
+                own.append(len(p))
+        for own in self.ends.values():
+            own.append(1)
+        #: neighbours inside some piece; no merge crosses any other pair of characters
+        self.inside = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.units = Cache(cache_entries)
+        self.states, self.totals = Cache(cache_entries), Cache(cache_entries)
 
     def _merge(self, text: str) -> list[str]:
         """The encoding of a short text by its merges: best rank first, leftmost among equals."""
@@ -74,14 +88,58 @@ class PrefixCounter:
             found = self.pairs[a, b] = self._merge(a + b) == [a, b]
         return found
 
-    def unit(self, text: str) -> tuple[int, ...]:
+    def _state(self, text: str) -> tuple[int, str, int]:
+        """Of a prefix of a unit: its tokens, its last piece, and where its last stretch of characters
+        with pieces starts. Words share prefixes, so few characters are new in a new word."""
+        recall = self.states.get
+        k = len(text)
+        now = None
+        while k and (now := recall(text[:k])) is None:
+            k -= 1
+        count, last, start = now or (0, "", 0)
+        single, whole, ends, fits = self.single, self.whole, self.ends.get, self._fits
+        for i in range(k + 1, len(text) + 1):
+            c = text[i - 1]
+            if c not in single:
+                count, last, start = count + len(c.encode()), "", i
+            else:
+                for n in ends(text[i - 2 : i], _ONE):
+                    j = i - n
+                    if j < start:
+                        continue
+                    last = text[j:i]
+                    if last in whole:
+                        before = self._state(text[:j]) if j else (0, "", 0)
+                        if j == start or fits(before[1], last):
+                            count = before[0] + 1
+                            break
+                else:
+                    raise ValueError(f"no piece ends {text[:i]!r}")
+            self.states.put(text[:i], (count, last, start))
+        return count, last, start
+
+    def total(self, unit: str) -> int:
+        """Tokens of a unit."""
+        found = self.totals.recall(unit)
+        if found is None:
+            stem = unit.rstrip(_TAIL)
+            if stem and len(stem) < len(unit) and unit[len(stem) - 1 : len(stem) + 1] not in self.inside:
+                found = self.total(stem) + self.total(unit[len(stem) :])
+            elif len(unit) <= LONG_UNIT:
+                found = self._state(unit)[0]
+            else:
+                found = self.unit(unit)[-1]
+            if len(unit) <= LONG_UNIT:
+                self.totals.put(unit, found)
+        return found
+
+    def unit(self, text: str) -> list[int]:
         """Token counts of the prefixes of 1, 2, ... characters of a unit."""
-        found = self.units.recall(text)
-        if found is not None:
-            return found
+        if len(text) <= LONG_UNIT:
+            return [self._state(text[:i])[0] for i in range(1, len(text) + 1)]
         counts, last = [0], [""]
         single, whole, longest, fits = self.single, self.whole, self.longest, self._fits
-        start = 0  # of the stretch of characters with pieces
+        start = 0
         for i, c in enumerate(text, 1):
             if c not in single:
                 counts.append(counts[-1] + len(c.encode()))
@@ -96,10 +154,7 @@ class PrefixCounter:
                 raise ValueError(f"no piece ends {text[:i]!r}")
             counts.append(counts[j] + 1)
             last.append(p)
-        found = tuple(counts[1:])
-        if len(text) <= 64:
-            self.units.put(text, found)
-        return found
+        return counts[1:]
 
     def split(self, text: str) -> list[str]:
         """The text's units: spaces with the word after them; line feeds, which have no piece, alone."""
@@ -107,24 +162,30 @@ class PrefixCounter:
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Tokens of ``text[:i]`` for i = 1, 2, ...; the last entry is that of the whole text."""
-        get, unit = self.units.new.get, self.unit
-        found = [get(u) or unit(u) for u in self.split(text)]
-        if not found:
-            return np.zeros(0, np.int64)
-        ends = np.cumsum([f[-1] for f in found])
-        return np.concatenate([np.asarray(f) + e - f[-1] for f, e in zip(found, ends)])[len(self.front) :]
+        out, base = [], 0
+        for u in self.split(text):
+            found = self.unit(u)
+            out += [base + x for x in found]
+            base += found[-1]
+        return np.array(out[len(self.front) :], np.int64)
 
     def count(self, text: str, budget: int) -> tuple[int, int]:
         """Tokens of the text; characters of its longest prefix of at most ``budget`` tokens."""
         units = self.split(text)
-        found = list(map(self.units.new.get, units))
-        if None in found:
-            found = [self.unit(u) if f is None else f for u, f in zip(units, found)]
-        n = sum([f[-1] for f in found])
+        counts = list(map(self.totals.new.get, units))
+        if None in counts:
+            total = self.total
+            counts = [total(u) if c is None else c for u, c in zip(units, counts)]
+        n = sum(counts)
         if n <= budget:
             return n, len(text)
-        fits = np.flatnonzero(self.prefix_counts(text) <= budget)
-        return n, int(fits[-1]) + 1 if len(fits) else 0
+        # a unit's prefixes hold a token at least: only the unit that crosses the budget is open
+        k, base = 0, 0
+        while base + counts[k] <= budget:
+            base += counts[k]
+            k += 1
+        fit = sum(map(len, units[:k])) + max([0, *(i for i, x in enumerate(self.unit(units[k]), 1) if base + x <= budget)])
+        return n, max(0, fit - len(self.front))
 
 
 _LOADED: dict[str, PrefixCounter] = {}
