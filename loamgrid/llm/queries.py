@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, packing, passages, prefix_tokens, quality_classifier, quality_rules, rp_forest, simhash, warc_zstd
+from . import bpe_codec, packing, passages, prefix_tokens, quality_classifier, quality_rules, rp_forest, simhash, training_order, warc_zstd
 from .common import read
 
 
@@ -13,6 +13,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.training_order(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.archive_and_read(read(spark, sf_dir, "pages"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_prefix_tokens": op2_prefix_tokens,
     "op3_simhash": op3_simhash,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_training_order": op5_training_order,
     "op6_warc_zstd": op6_warc_zstd,
     "op7_passages": op7_passages,
     "op8_bpe_codec": op8_bpe_codec,
