@@ -216,8 +216,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` predicted good, with their columns as they are."""
-    feats = settle(docs.select("doc_id", features("text").alias("f")), "text-features")
+def keep_good(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` predicted good, with their columns as they are.
+
+    The fit is on ``labelled`` (``doc_id``, ``text``), which may hold more than ``docs``: what earlier
+    stages have rejected is still what a bad document looks like."""
+    feats = settle(labelled.select("doc_id", features("text").alias("f")), "text-features")
     model = fit(feats, labels)
     return docs.where(score(model, features("text")) >= THRESHOLD)
