@@ -2,54 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.session import ship
+from loamgrid.session import settle, shared_path, shared_root, ship
 
 #: Word separators of every contract: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 
+__all__ = ["Cache", "SPACES", "drop_settled", "join_small", "keep", "read", "settle", "shared_path", "shared_root", "ship"]
+
 #: A side may be broadcast up to this many rows, counted before the join.
 BROADCAST_ROWS = 20_000
 
-_OWN_DIR: list[str] = []
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, only where that is
-    unset (local tests), a temporary folder of this process that also becomes the checkpoint dir."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="loamgrid-"))
-        spark.sparkContext.setCheckpointDir(_OWN_DIR[0])
-    return _OWN_DIR[0]
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut there, later
-    passes read only the columns they need, and a lost executor costs a reread and no recomputation."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def drop_settled(df: DataFrame) -> None:
     """Delete the files of a settled table that nothing reads any more."""
     spark = df.sparkSession
