@@ -136,7 +136,8 @@ class Writer:
         row = [len(self.rows) if id is None else int(id), *[[float(x) for x in v] for v in vectors]]
         for name, p in known.items():
             value = values.get(name)
-            row.append((0 if p.components == 1 else [0] * p.components) if value is None else list(value) if p.components > 1 else value)
+            one = float if p.type == "float32" else int
+            row.append([int(x) for x in value or [0] * p.components] if p.components > 1 else one(value or 0))
         for name in self.schema.relationships:
             value = values.get(name)
             row.append([] if value is None else [int(value)] if isinstance(value, int) else [int(x) for x in value])

@@ -13,9 +13,17 @@ _SHIPPED: set[str] = set()
 _OWN_DIR: list[str] = []
 
 
+#: Bytes of an Arrow batch on its way to Python: long texts make batches of few rows.
+ARROW_BYTES = 4 << 20
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once per application."""
+    """Send the package to the executors, once per application, and bound the bytes of Arrow batches
+    where the session still has Spark's own limit."""
     sc = spark.sparkContext
+    if spark.conf.get(_ARROW_BYTES) == "67108864b":
+        spark.conf.set(_ARROW_BYTES, str(ARROW_BYTES))
     if sc.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parent
