@@ -90,7 +90,7 @@ def sequences(texts: DataFrame, path: str, pattern: str, length: int, plan: tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path, pattern)
-        part, count = TaskContext.get().partitionId(), 0
+        part, count, last = TaskContext.get().partitionId(), 0, np.array([end], "<u2").tobytes()
         if plan is not None:
             offsets, n, key, shard_slots = plan
             order, limit = Permutation(n, key), offsets[part + 1] - offsets[part]
@@ -104,12 +104,11 @@ def sequences(texts: DataFrame, path: str, pattern: str, length: int, plan: tupl
         for batch in batches:
             docs, pieces, ids = [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                own = encode.encode_ordinary(text.as_py())
-                own.append(end)
+                own = encode.encode_to_numpy(text.as_py(), disallowed_special=())  # the encoder knows no special tokens
                 if plan is None:
-                    count += -(-len(own) // length)
+                    count += -(-(len(own) + 1) // length)
                     continue
-                raw = np.array(own, "<u2").tobytes()
+                raw = own.astype("<u2").tobytes() + last
                 for k, at in enumerate(range(0, len(raw), 2 * length)):
                     docs.append(doc)
                     pieces.append(k)
