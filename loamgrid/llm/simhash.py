@@ -24,6 +24,8 @@ from .components import components
 BITS = 64
 SEED = 42
 _CHUNK = 65_536
+#: Ids from here on stand for fingerprints of which no document has an id; documents' ids are smaller.
+UNNAMED = 1 << 62
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -169,11 +171,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, id
     a null id); repeated rows stay repeated; an empty table gives no rows; other columns are ignored.
     """
     docs_fp = settle(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    nodes = settle(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
-    roots = components(near_links(nodes.select("fp"), max_distance)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return docs_fp.join(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a fingerprint goes by its smallest document, so that roots are document ids at once
+    unnamed = F.col("fp").bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED))
+    nodes = settle(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", unnamed).alias("node")), "fingerprint-nodes")
+    pairs = near_links(nodes.select("fp"), max_distance)
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")), end)
+    roots = components(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+    found = F.coalesce("root", "node")
+    rooted = nodes.join(roots, "node", "left").select("fp", F.when(found < UNNAMED, found).alias("component_id"))
+    return docs_fp.join(rooted, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, max_distance: int = 4) -> DataFrame:
