@@ -12,6 +12,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamgrid.functions import morton
 from loamgrid.functions.grid import Grid
@@ -49,7 +50,7 @@ def write(data: AnnotationSet, path: str, unique_ids: bool = True) -> Info:
         own = data.cells(x.key).select(F.lit(i).alias("level"), "*")
         cells = own if cells is None else cells.unionAll(own)
     cells.repartitionByRange("level", "morton", "id").sortWithinPartitions("level", "morton", "id").write.partitionBy("level").parquet(f"{path}/cells")
-    counts = {row["level"]: row["n"] for row in spark.read.parquet(f"{path}/cells").groupBy("level", "morton").count().groupBy("level").agg(F.max("count").alias("n")).collect()}
+    counts = {row["level"]: row["n"] for row in spark.read.schema(_cells_schema(data.schema.rank)).parquet(f"{path}/cells").groupBy("level", "morton").count().groupBy("level").agg(F.max("count").alias("n")).collect()}
     levels = tuple(Level(x.key, x.chunk_size, x.grid_shape, max(1, counts.get(i, 1)), x.sharding) for i, x in enumerate(info.levels))
     info = Info(info.schema, info.lower_bound, info.upper_bound, levels)
     write_text(spark, f"{path}/info", info.dumps())
@@ -59,9 +60,16 @@ def write(data: AnnotationSet, path: str, unique_ids: bool = True) -> Info:
 def read(spark: SparkSession, path: str) -> AnnotationSet:
     """Open a written set; tables are read as queries need them."""
     info = Info.from_json(json.loads(read_text(spark, f"{path}/info")))
-    table = lambda name: spark.read.parquet(f"{path}/{name}")
-    links = table("links").select("relationship", "related_id", "id", "pos") if info.schema.relationships else None
-    return AnnotationSet(info.schema, table("annotations"), info, links, table("cells"))
+    r = range(info.schema.rank)
+    rows = T.StructType([*info.schema.struct_type(), *[T.StructField(f"{n}_{d}", T.DoubleType()) for n in ("lo", "hi") for d in r], T.StructField("morton", T.LongType())])
+    # schemas are given, so that empty tables and folders of a stream's batches open alike
+    table = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+    links = table("links", "related_id bigint, id bigint, pos int, relationship string").select("relationship", "related_id", "id", "pos") if info.schema.relationships else None
+    return AnnotationSet(info.schema, table("annotations", rows), info, links, table("cells", _cells_schema(info.schema.rank)))
+
+
+def _cells_schema(rank: int) -> str:
+    return ", ".join(f"c{d} bigint" for d in range(rank)) + ", morton bigint, id bigint, level int"
 
 
 def is_native(spark: SparkSession, path: str) -> bool:
