@@ -62,5 +62,15 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-#: DuckDB SQL by query, where SQL can express it.
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL by query, where SQL can express it. Base32 takes five bits at a time out of the hex digits.
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc_zstd": """
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+first as (select html, min(page_id) as page_id, count(*) as n from p group by html),
+bits as (select page_id, html, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((((strpos('0123456789abcdef', substr(h, cast(5 * i // 4 + 1 as int), 1)) - 1) * 16 + greatest(strpos('0123456789abcdef', substr(h || '0', cast(5 * i // 4 + 2 as int), 1)) - 1, 0)) >> cast(3 - (5 * i) % 4 as int)) & 31), 1)), '') as digest from p)
+select b.page_id, octet_length(encode(b.html)) as payload_bytes, digest as payload_digest,
+  case when f.page_id = b.page_id then 'response' else 'revisit' end as record_type, case when f.page_id <> b.page_id then f.page_id end as refers_to
+from bits b join first f on b.html = f.html
+""",
+}
