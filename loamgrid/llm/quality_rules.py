@@ -26,6 +26,8 @@ SUPPORT = 0.75
 STEPS = 4
 #: A group below this size borrows the estimate of its language, and that one's of all rows.
 MIN_GROUP = 200
+#: Below this size there is no estimate, and only the base rules decide.
+MIN_FIT = 50
 #: Chi-square quantile of the reweighting step, and tail probability of the rejection.
 REWEIGHT, TAIL = 0.975, 1e-9
 #: Bins per unit of log2 distance.
@@ -38,11 +40,11 @@ _P = len(FEATURES)
 
 
 # -- statistics -----------------------------------------------------------------------------------
-def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``row`` (all columns of the input) and ``s``: n_words, word_chars, n_symbols, n_dup_lines,
+def with_statistics(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``row`` (the columns to ``carry``, all if not given) and ``s``: n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words and n_lines of the whole text, all bigint; a null text has no words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    cut = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text")).select("row", "text", F.array_remove(F.split("text", SPACES), "").alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    cut = docs.select(F.struct(*[docs[c] for c in carry or docs.columns]).alias("row"), text.alias("text")).select("row", "text", F.array_remove(F.split("text", SPACES), "").alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     windows = F.transform("words", lambda x, i: F.xxhash64(x, F.get(F.col("words"), i + 1), F.get(F.col("words"), i + 2)))
     cut = cut.select("row", "text", "words", "lines", F.slice(windows, F.lit(1), F.greatest(F.size("words") - 2, F.lit(0))).alias("h"))
     ordered = F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
@@ -113,12 +115,15 @@ def _key(c: Column) -> Column:
 
 def _groups(keyed: DataFrame) -> DataFrame:
     """``lang_key, source_key -> g``: the pair itself if large enough; else the small sources of the
-    language together; else all rows whose language's are too few as well."""
+    language together; else all rows whose language's are too few as well. What is then still too
+    small for an estimate has no group."""
     n = keyed.groupBy("lang_key", "source_key").agg(F.count("*").alias("n"))
     small = n.where(F.col("n") < MIN_GROUP).groupBy("lang_key").agg(F.sum("n").alias("pooled"))
     own = F.concat(F.lit("s"), F.col("lang_key"), F.lit("\x01"), F.col("source_key"))
     g = F.when(F.col("n") >= MIN_GROUP, own).when(F.col("pooled") >= MIN_GROUP, F.concat(F.lit("l"), F.col("lang_key"))).otherwise(F.lit("a"))
-    return n.join(small, "lang_key", "left").select("lang_key", "source_key", g.alias("g"))
+    named = n.join(small, "lang_key", "left").select("lang_key", "source_key", "n", g.alias("g"))
+    enough = named.groupBy("g").agg(F.sum("n").alias("all")).where(F.col("all") >= MIN_FIT)
+    return named.join(enough, "g", "left_semi").select("lang_key", "source_key", "g")
 
 
 # -- moments and matrices per group ---------------------------------------------------------------
@@ -204,8 +209,8 @@ def fit(rows: DataFrame) -> DataFrame:
 
 
 # -- verdicts -------------------------------------------------------------------------------------
-def verdicts(docs: DataFrame, text_col: str = "text", tail: float = TAIL) -> DataFrame:
-    """``row`` (the columns of ``docs``), ``s`` (statistics), ``base_failed``, ``distance`` and ``kept``.
+def verdicts(docs: DataFrame, text_col: str = "text", tail: float = TAIL, carry: list[str] | None = None) -> DataFrame:
+    """``row`` (the columns of ``docs``, or those to ``carry``, ``lang`` and ``source`` among them), ``s`` (statistics), ``base_failed``, ``distance`` and ``kept``.
 
     Rows that fail the base rules are rejected and take no part in the estimates; other rows are
     rejected if their squared Mahalanobis distance exceeds the chi-square quantile of ``tail``. Null
@@ -213,7 +218,7 @@ def verdicts(docs: DataFrame, text_col: str = "text", tail: float = TAIL) -> Dat
     repeated rows count as often as they occur, ties share a bin, and an empty table gives no rows.
     Column names of ``docs`` can't clash: they stay inside ``row``.
     """
-    stats = settle(with_statistics(docs, text_col), "statistics")
+    stats = settle(with_statistics(docs, text_col, carry), "statistics")
     flat = stats.select(_key(F.col("row.lang")).alias("lang_key"), _key(F.col("row.source")).alias("source_key"), base_failed().alias("base_failed"), F.struct(*[c.alias(f"x{i}") for i, c in enumerate(features().values())]).alias("x"))
     fitting = flat.where(~F.col("base_failed"))
     groups = settle(_groups(fitting), "groups")
@@ -229,7 +234,7 @@ def verdicts(docs: DataFrame, text_col: str = "text", tail: float = TAIL) -> Dat
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, the five statistics, ``base_failed``, ``kept``, ``distance``."""
-    out = verdicts(docs.select("doc_id", "text", "lang", "source"))
+    out = verdicts(docs, carry=["doc_id", "lang", "source"])
     return out.select(F.col("row.doc_id").alias("doc_id"), *[f"s.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "distance")
 
 
