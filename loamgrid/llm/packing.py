@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences: hierarchical residual packing.
 
 Round 0 packs every partition on its own (best-fit decreasing); bins that are full but for a small
-slack are emitted. The underfull bins of up to ``FAN_IN`` partitions then meet as items of one
-partition of the next round, are packed best-fit again, and so on up the tree. A bin travels with
+slack are emitted. The underfull bins of many partitions then meet as items of one partition of the
+next round, are packed best-fit again, and so on up the tree. A bin travels with
 the list of its pieces, at most one per token, so every row and every task is bounded, and no join
 is needed to resolve nested bins. All rounds are written tables in the shared folder.
 """
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from .common import settle
 from .word_ids import word_ids
 
-FAN_IN = 8
 #: Items and pieces that one packing call holds at most.
 CHUNK_ITEMS, CHUNK_PARTS = 40_000, 400_000
 
@@ -131,17 +130,17 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: s
     return source.mapInArrow(run, _BINS_SQL)
 
 
-def pack(items: DataFrame, capacity: int, slack: int | None = None, first_partitions: int | None = None) -> DataFrame:
-    """Pack items (``closed``, ``sequence_id``, ``fill``, ``parts``) up the tree; one row per piece."""
+def pack(items: DataFrame, capacity: int, slack: int | None = None) -> DataFrame:
+    """Pack items (``closed``, ``sequence_id``, ``fill``, ``parts``) up the tree; one row per piece.
+
+    A round's tasks hold ``CHUNK_ITEMS`` underfull bins each, so there are fewer and fewer of them;
+    the last round has one, or ends where bins fit together no more."""
     slack = max(1, capacity // 256) if slack is None else slack
-    # dealt out once, so that a partition's mix of sizes doesn't depend on the order of the input
     tables = [settle(items.mapInArrow(_packer(capacity, slack, 0), _BINS_SQL), "pack0")]
     open_bins = tables[0].where(~F.col("closed"))
     left = open_bins.count()
-    parts = first_partitions or max(1, tables[0].rdd.getNumPartitions())
     while left > 1:
-        parts = max(-(-left // CHUNK_ITEMS), parts // FAN_IN, 1)
-        level = len(tables)
+        parts, level = -(-left // CHUNK_ITEMS), len(tables)
         tables.append(settle(open_bins.repartition(parts).mapInArrow(_packer(capacity, slack, level), _BINS_SQL), f"pack{level}"))
         open_bins = tables[-1].where(~F.col("closed"))
         was, left = left, open_bins.count()
