@@ -24,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Cache
+
 LONG_WORD = 200
 CACHE_ENTRIES = 400_000
 _NONE = 1 << 60
 #: Control characters at which str.split() cuts although they are no Unicode white space.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-#: Pre-tokens of lower-case ASCII text: contractions, letters, single digits, other signs.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
+#: Pre-tokens of lower-case Latin-1 text: contractions, letters, single digits, other signs.
+LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^ \t-\r\x85\xa0a-z0-9ªµºß-öø-ÿ²³¹¼-¾]+")
 
 
 def byte_alphabet() -> list[str]:
@@ -73,9 +75,7 @@ class WordBpe:
         library = Tokenizer.from_file(path)
         self.normalize = library.normalizer.normalize_str
         self.pre_tokenize = library.pre_tokenizer.pre_tokenize_str
-        self.words: dict[bytes, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, str, str]] = {}
-        self.limit = cache_entries
+        self.words, self.chunks = Cache(cache_entries), Cache(cache_entries)
 
     # -- one word ---------------------------------------------------------------------------
     def merge_ranks(self, ids: list[int]) -> tuple[list[int], list[int]]:
@@ -123,17 +123,15 @@ class WordBpe:
             ids = [self.inner[b] for b in raw[:-1]]
             ids.append(self.final[raw[-1]])
             found = tuple(self.merge_ranks(ids)[0] if len(ids) <= LONG_WORD else self.merge_long(ids))
-            if len(self.words) >= self.limit:
-                self.words.clear()
             if len(raw) <= 64:
-                self.words[raw] = found
+                self.words.put(raw, found)
         return found
 
     # -- texts ------------------------------------------------------------------------------
     def _plain(self, chunk: str) -> list[int]:
         ids: list[int] = []
-        if chunk.isascii():
-            for w in _ASCII.findall(chunk.lower()):
+        if max(chunk) <= "ÿ":  # normalisation leaves Latin-1 as it is, but for the case
+            for w in LATIN.findall(chunk.lower()):
                 ids += self.word(w.encode())
         else:
             byte_of = self.byte_of
@@ -143,6 +141,9 @@ class WordBpe:
 
     def chunk(self, chunk: str) -> tuple[int, str, str]:
         """Number of tokens, decimal ids and decoded text of a chunk without white space."""
+        found = self.chunks.recall(chunk)
+        if found is not None:
+            return found
         if self.special_re is not None and "<" in chunk:
             ids = []
             for part in self.special_re.split(chunk):
@@ -153,14 +154,12 @@ class WordBpe:
         else:
             ids = self._plain(chunk)
         found = len(ids), " ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids))
-        if len(self.chunks) >= self.limit:
-            self.chunks.clear()
         if len(chunk) <= 64:
-            self.chunks[chunk] = found
+            self.chunks.put(chunk, found)
         return found
 
     def pieces(self, text: str) -> list[tuple[int, str, str]]:
-        get, chunk = self.chunks.get, self.chunk
+        get, chunk = self.chunks.new.get, self.chunk
         return [get(w) or chunk(w) for w in split_white(text)]
 
     def encode(self, text: str) -> list[int]:

@@ -15,13 +15,11 @@ import re
 
 import numpy as np
 
-from .bpe_codec import byte_alphabet, split_white
+from .bpe_codec import LATIN, byte_alphabet, split_white
 from .common import Cache
 
 CACHE_ENTRIES = 600_000
 _END = b"\xff"
-#: Pre-tokens of lower-case Latin-1 text: contractions, letters, single digits, other signs.
-_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^ \t-\r\x85\xa0a-z0-9ªµºß-öø-ÿ²³¹¼-¾]+")
 
 
 class WordIds:
@@ -67,7 +65,7 @@ class WordIds:
 
     def _plain(self, chunk: str) -> bytes:
         if max(chunk) <= "ÿ":  # normalisation leaves Latin-1 as it is, but for the case
-            words = [w.encode() for w in _LATIN.findall(chunk.lower())]
+            words = [w.encode() for w in LATIN.findall(chunk.lower())]
         else:
             byte_of = self.byte_of
             words = [bytes([byte_of[c] for c in w]) for w, _ in self.pre_tokenize(self.normalize(chunk))]
