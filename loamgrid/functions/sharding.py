@@ -10,12 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamgrid.plans.metadata import SHARDING_KIND
+from loamgrid.plans.metadata import SHARD_HASHES, SHARDING_KIND
 
 # What the interchange format's writer aims at.
 MINISHARD_TARGET = 1000
 SHARD_TARGET_BYTES = 50_000_000
-HASHES = ("identity", "murmurhash3_x86_128")
 
 
 @dataclass(frozen=True)
@@ -37,7 +36,7 @@ class ShardSpec:
 
 def plain_hash(name: str) -> str:
     name = "identity" if name == "identity_hash" else name
-    if name not in HASHES:
+    if name not in SHARD_HASHES:
         raise ValueError(f"unknown hash {name!r}")
     return name
 

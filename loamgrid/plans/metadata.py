@@ -11,9 +11,19 @@ import numpy as np
 
 from .schema import GEOMETRY, PROPERTY_TYPES, AnnotationSchema, CoordinateSpace, PropertySpec
 
-# Fixed values of the interchange format.
+# Fixed values of the interchange format: the "@type" of each kind of document, and closed value lists.
 ANNOTATION_KIND = "neuroglancer_annotations_v1"
 SHARDING_KIND = "neuroglancer_uint64_sharded_v1"
+VOLUME_KIND = "neuroglancer_multiscale_volume"
+SEGMENT_PROPERTIES_KIND = "neuroglancer_segment_properties"
+SKELETON_KIND = "neuroglancer_skeletons"
+MULTIRESOLUTION_MESH_KIND = "neuroglancer_multilod_draco"
+LEGACY_MESH_KIND = "neuroglancer_legacy_mesh"
+SHARD_HASHES = ("identity", "murmurhash3_x86_128")
+VOLUME_TYPES = ("image", "segmentation")
+VOLUME_DATA_TYPES = ("uint8", "int8", "uint16", "int16", "uint32", "int32", "uint64", "float32")
+VOLUME_ENCODINGS = ("raw", "jpeg", "compressed_segmentation", "png", "compresso", "jxl")
+SEGMENT_PROPERTY_TYPES = ("label", "description", "string", "tags", "number")
 
 
 # -- a small JSON Schema checker -------------------------------------------------------------------
@@ -141,9 +151,9 @@ def load_schemas() -> dict[str, dict]:
     level["oneOf"] = [{"required": ["grid_shape"]}, {"required": ["chunk_shape"]}]
     scale = _object(
         "key size chunk_sizes resolution encoding", key=_TEXT, size=_list(_integer(0), 3), voxel_offset=_list(_integer(), 3), chunk_sizes=_list(_list(_integer(1), 3), least=1), resolution=_list(_NUMBER, 3),
-        encoding=_one_of("raw", "jpeg", "compressed_segmentation", "png", "compresso", "jxl"), jpeg_quality=_integer(0, 100), png_level=_integer(0, 9), compressed_segmentation_block_size=_list(_NUMBER | {"minimum": 1}, 3), sharding=_SHARDED, hidden={"type": "boolean"},
+        encoding=_one_of(*VOLUME_ENCODINGS), jpeg_quality=_integer(0, 100), png_level=_integer(0, 9), compressed_segmentation_block_size=_list(_NUMBER | {"minimum": 1}, 3), sharding=_SHARDED, hidden={"type": "boolean"},
     )
-    inline_property = _object("id type values", id=_TEXT, type=_one_of("label", "description", "string", "tags", "number"), description=_TEXT, tags=_list(_TEXT), tag_descriptions=_list(_TEXT), data_type=_one_of(*numeric), values={"type": "array"})
+    inline_property = _object("id type values", id=_TEXT, type=_one_of(*SEGMENT_PROPERTY_TYPES), description=_TEXT, tags=_list(_TEXT), tag_descriptions=_list(_TEXT), data_type=_one_of(*numeric), values={"type": "array"})
     transform = _list(_NUMBER, 12)
     return {
         "annotation": _object(
@@ -151,12 +161,12 @@ def load_schemas() -> dict[str, dict]:
             lower_bound=_list(_NUMBER), upper_bound=_list(_NUMBER), annotation_type={"type": "string", "pattern": f"^(?i)({'|'.join(GEOMETRY)})$"}, properties=_list(prop),
             relationships=_list(_object("id key", id=_TEXT, key=_TEXT, sharding=_SHARDED)), by_id=_object("key", key=_TEXT, sharding=_SHARDED), spatial=_list(level), segment_properties=_TEXT,
         ) | {"checks": [_same_rank]},
-        "sharding": _object("at_type preshift_bits hash minishard_bits shard_bits minishard_index_encoding data_encoding", at_type={"const": SHARDING_KIND}, preshift_bits=_integer(0, 64), hash=_one_of("identity", "murmurhash3_x86_128"), minishard_bits=_integer(0, 64), shard_bits=_integer(0, 64), minishard_index_encoding=_one_of("raw", "gzip"), data_encoding=_one_of("raw", "gzip")),
-        "volume": _object("type data_type num_channels", at_type={"const": "neuroglancer_multiscale_volume"}, type=_one_of("image", "segmentation"), data_type=_one_of("uint8", "int8", "uint16", "int16", "uint32", "int32", "uint64", "float32"), num_channels=_integer(1), scales=_list(scale, least=1), mesh=_TEXT, skeletons=_TEXT, segment_properties=_TEXT),
-        "segment_properties": _object("at_type", at_type={"const": "neuroglancer_segment_properties"}, inline=_object("ids properties", ids=_list(_TEXT), properties=_list(inline_property))),
-        "skeleton": _object("at_type", at_type={"const": "neuroglancer_skeletons"}, transform=transform, vertex_attributes=_list(_object("id data_type num_components", id=_TEXT, data_type=_one_of(*numeric), num_components=_integer(1))), sharding=_SHARDED, segment_properties=_TEXT),
-        "multiresolution_mesh": _object("at_type vertex_quantization_bits transform lod_scale_multiplier", at_type={"const": "neuroglancer_multilod_draco"}, vertex_quantization_bits={"enum": [10, 16]}, transform=transform, lod_scale_multiplier=_NUMBER, sharding=_SHARDED, segment_properties=_TEXT),
-        "legacy_mesh": _object("at_type", at_type={"const": "neuroglancer_legacy_mesh"}, segment_properties=_TEXT),
+        "sharding": _object("at_type preshift_bits hash minishard_bits shard_bits minishard_index_encoding data_encoding", at_type={"const": SHARDING_KIND}, preshift_bits=_integer(0, 64), hash=_one_of(*SHARD_HASHES), minishard_bits=_integer(0, 64), shard_bits=_integer(0, 64), minishard_index_encoding=_one_of("raw", "gzip"), data_encoding=_one_of("raw", "gzip")),
+        "volume": _object("type data_type num_channels", at_type={"const": VOLUME_KIND}, type=_one_of(*VOLUME_TYPES), data_type=_one_of(*VOLUME_DATA_TYPES), num_channels=_integer(1), scales=_list(scale, least=1), mesh=_TEXT, skeletons=_TEXT, segment_properties=_TEXT),
+        "segment_properties": _object("at_type", at_type={"const": SEGMENT_PROPERTIES_KIND}, inline=_object("ids properties", ids=_list(_TEXT), properties=_list(inline_property))),
+        "skeleton": _object("at_type", at_type={"const": SKELETON_KIND}, transform=transform, vertex_attributes=_list(_object("id data_type num_components", id=_TEXT, data_type=_one_of(*numeric), num_components=_integer(1))), sharding=_SHARDED, segment_properties=_TEXT),
+        "multiresolution_mesh": _object("at_type vertex_quantization_bits transform lod_scale_multiplier", at_type={"const": MULTIRESOLUTION_MESH_KIND}, vertex_quantization_bits={"enum": [10, 16]}, transform=transform, lod_scale_multiplier=_NUMBER, sharding=_SHARDED, segment_properties=_TEXT),
+        "legacy_mesh": _object("at_type", at_type={"const": LEGACY_MESH_KIND}, segment_properties=_TEXT),
         "legacy_mesh_manifest": _object("fragments", fragments=_list(_TEXT)),
     }
 
