@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +10,7 @@ from loamgrid.session import settle, shared_path, shared_root, ship
 #: Word separators of every contract: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 
-__all__ = ["Cache", "SPACES", "drop_settled", "join_small", "keep", "read", "settle", "shared_path", "shared_root", "ship"]
+__all__ = ["Cache", "SPACES", "drop_settled", "join_small", "read", "settle", "shared_path", "shared_root", "ship"]
 
 #: A side may be broadcast up to this many rows, counted before the join.
 BROADCAST_ROWS = 20_000
@@ -47,11 +46,6 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], salt_by: str, ho
     return big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cache with spill to disk; only for tables that are cheap to recompute after a loss."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 class Cache:
     """A bounded dict in two generations: when the new one is full it becomes the old one, and what
     is still asked for moves back, so frequent entries survive floods of rare ones."""
