@@ -145,17 +145,29 @@ def _writer(folder: str, length: int, shard_slots: int, n: int, key: int):
                 files.move(f"{base}/.{attempt}", f"{base}/shard-{shard:08d}.bin")
                 done.append((f"{folder}/shard-{shard:08d}.bin", shard * shard_slots, at - shard * shard_slots))
 
+        record = np.dtype([*_HEAD.descr, ("ids", "<u2", (length,))])
         for batch in batches:
-            for slot, own, doc, piece, ids in zip(*(batch.column(c).to_pylist() for c in ("slot", "shard", "doc_id", "piece", "ids"))):
-                if own != shard:
+            if not batch.num_rows:
+                continue
+            slots, shards = batch.column("slot").to_numpy(), batch.column("shard").to_numpy()
+            rows = np.empty(len(slots), record)
+            rows["doc_id"] = batch.column("doc_id").fill_null(_NO_ID).to_numpy()
+            rows["piece"] = batch.column("piece").to_numpy()
+            ids = batch.column("ids").to_pylist()
+            rows["length"] = [len(x) // 2 for x in ids]
+            rows["ids"] = np.frombuffer(b"".join([x.ljust(2 * length, b"\0") for x in ids]), "<u2").reshape(-1, length)
+            cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
+            for first, end in zip(cuts, cuts[1:]):
+                if shards[first] != shard:
                     close()
-                    shard, at = own, own * shard_slots
+                    shard = int(shards[first])
+                    at = shard * shard_slots
                     sink = files.open_output_stream(f"{base}/.{attempt}", compression=None)
                     sink.write(MAGIC + struct.pack("<QQQQQ", stride, length, at, n, key) + b"\0" * (HEADER - 48))
-                if slot != at:
-                    raise RuntimeError(f"slot {at} is missing")
-                sink.write(struct.pack("<qii", _NO_ID if doc is None else doc, piece, len(ids) // 2) + ids.ljust(2 * length, b"\0"))
-                at += 1
+                if (slots[first:end] != at + np.arange(end - first)).any():
+                    raise RuntimeError(f"slots of shard {shard} are missing from {at} on")
+                sink.write(rows[first:end].tobytes())
+                at += end - first
         close()
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "first_slot", "records"])
 
@@ -206,7 +218,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 for at, rows in read_shard(path):
-                    crc = [zlib.crc32(r[:n].tobytes()) for r, n in zip(rows["ids"], rows["length"].tolist())]
+                    raw, size, start = rows.view(np.uint8).data, rows.dtype.itemsize, _HEAD.itemsize
+                    crc = [zlib.crc32(raw[i : i + 2 * n]) for i, n in zip(range(start, len(raw), size), rows["length"].tolist())]
                     doc = rows["doc_id"].astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(at + np.arange(len(rows))), pa.array(doc, mask=doc == _NO_ID), pa.array(rows["piece"].astype(np.int32)), pa.array(rows["length"].astype(np.int64)), pa.array(crc, pa.int64())], ["slot", "doc_id", "piece", "length", "ids_crc32"])
 
