@@ -66,7 +66,7 @@ class PrefixCounter:
         #: neighbours inside some piece; no merge crosses any other pair of characters
         self.inside = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.states, self.totals = Cache(cache_entries), Cache(cache_entries)
+        self.states, self.totals = Cache(cache_entries), Cache(5 * cache_entries // 2)
 
     def _merge(self, text: str) -> list[str]:
         """The encoding of a short text by its merges: best rank first, leftmost among equals."""
