@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +14,7 @@ from loamgrid.session import settle, shared_path, shared_root, ship
 #: Word separators of every contract: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 
-__all__ = ["Cache", "SPACES", "drop_settled", "join_small", "read", "settle", "shared_path", "shared_root", "ship"]
+__all__ = ["Cache", "SPACES", "drop_settled", "join_small", "read", "settle", "shared_path", "shared_root", "ship", "trim"]
 
 #: A side may be broadcast up to this many rows, counted before the join.
 BROADCAST_ROWS = 20_000
@@ -46,6 +50,13 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], salt_by: str, ho
     return big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
 
 
+def trim() -> None:
+    """Give memory that a task has freed back to the system, for whatever runs beside its worker next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Cache:
     """A bounded dict in two generations: when the new one is full it becomes the old one, and what
     is still asked for moves back, so frequent entries survive floods of rare ones."""

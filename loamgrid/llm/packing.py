@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, trim
 from .word_ids import word_ids
 
 #: Items and pieces that one packing call holds at most.
@@ -125,6 +125,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: s
             columns = [pa.array(docs_of, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             parts = pa.ListArray.from_arrays(pa.array(np.arange(len(fills) + 1, dtype=np.int32)), pa.StructArray.from_arrays(columns, fields=list(_PART)))
             yield pa.RecordBatch.from_arrays([pa.array(fills == whole), pa.nulls(len(fills), pa.int64()), pa.array(fills), parts], schema=_BINS)
+        trim()
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return source.mapInArrow(run, _BINS_SQL)

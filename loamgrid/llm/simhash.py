@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, trim
 from .components import components
 
 BITS = 64
@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        trim()
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     return source.mapInArrow(run, "doc_id bigint, fp bigint")
@@ -149,6 +150,7 @@ def _bucket_links(ring: Ring):
             held.append((key[cut:], fp[cut:]))
         if held:
             yield links(np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held]))
+        trim()
 
     return run
 

@@ -25,7 +25,6 @@ _END = b"\xff"
 class WordIds:
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -45,8 +44,7 @@ class WordIds:
         self.merge = encoding._core_bpe.encode_single_piece
         if any(self._bytewise(t) != [r] for t, r in self.ranks.items() if t != _END):
             raise ValueError("a piece of the vocabulary does not encode to itself")
-        library = Tokenizer.from_file(path)
-        self.normalize, self.pre_tokenize, self.byte_of = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str, byte_of
+        self.path, self.library, self.byte_of = path, None, byte_of
         self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
         self.special_re = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.cache = Cache(cache_entries)
@@ -67,8 +65,12 @@ class WordIds:
         if max(chunk) <= "ÿ":  # normalisation leaves Latin-1 as it is, but for the case
             words = [w.encode() for w in LATIN.findall(chunk.lower())]
         else:
-            byte_of = self.byte_of
-            words = [bytes([byte_of[c] for c in w]) for w, _ in self.pre_tokenize(self.normalize(chunk))]
+            if self.library is None:  # only now: its own tables are large
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path)
+            byte_of, library = self.byte_of, self.library
+            words = [bytes([byte_of[c] for c in w]) for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(chunk))]
         id_of, merge = self.id_of, self.merge
         return b"".join([id_of[r] for w in words for r in merge(w + _END)])
 
