@@ -221,3 +221,22 @@ def test_matching_spans():
     assert passages.matching_spans(a[:30], b, 46, 0.8) == []
     again = np.concatenate([a[:50], np.arange(20, dtype=np.uint64), a[:50]])
     assert {s[:2] for s in passages.matching_spans(again, a, 46, 0.8)} == {(0, 50), (70, 120)}
+
+
+def test_a_changed_word_anywhere_in_a_passage():
+    """Passages of 50, 60 and 100 words with one word changed, at every place, inside other text."""
+    rnd = random.Random(21)
+    fill = lambda n: prose(rnd, n, 10**6).split()
+    for n in (50, 60, 65, 100):
+        for k in range(n):
+            words = fill(n)
+            near = [*words[:k], "edited", *words[k + 1 :]]
+            texts = [*fill(70), *words, *fill(70)], [*fill(90), *near, *fill(70)]
+            a, b = (passages.tokens(" ".join(t).encode()) for t in texts)
+            (a0, a1, b0, b1, rate), *more = passages.matching_spans(a, b, 46, 0.8)
+            assert not more and a1 - a0 >= 46 and b1 - b0 >= 46 and rate >= 0.8
+            same = [i for i in range(n - 4) if not k - 4 <= i <= k]  # tokens without the changed word
+            assert a0 <= 70 + same[0] and a1 > 70 + same[-1] and b0 <= 90 + same[0] and b1 > 90 + same[-1]
+            left, right = texts[0][a0 : a1 + 4], texts[1][b0 : b1 + 4]
+            grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+            assert len(grams(left) & grams(right)) / len(grams(left) | grams(right)) == rate
