@@ -240,3 +240,21 @@ def test_a_changed_word_anywhere_in_a_passage():
             left, right = texts[0][a0 : a1 + 4], texts[1][b0 : b1 + 4]
             grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
             assert len(grams(left) & grams(right)) / len(grams(left) | grams(right)) == rate
+
+
+def test_passages_behind_a_first_document_that_holds_their_tokens(spark):
+    """A document of smallest id holds pieces of a passage, too short to repeat it: the later ones still meet."""
+    rnd = random.Random(22)
+    fill = lambda n: prose(rnd, n, 10**6).split()
+    rows, must = [], []
+    for k in range(12):
+        words = fill(60)
+        scattered = [w for i in range(0, 60, 10) for w in [*words[i : i + 14], *fill(60)]]  # every token of it
+        near = [*words[:20], "edited", *words[21:]]
+        for i, part in enumerate((scattered, [*fill(50), *words, *fill(50)], [*fill(70), *near, *fill(30)])):
+            rows.append((1000 * i + k, " ".join(part)))
+        must.append((2000 + k, 1000 + k))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = passages.repeated_passages(df).collect()
+    assert sorted({(r.doc_id, r.of_doc_id) for r in got}) == must
+    assert all(r.start_word <= 70 and r.end_word >= 130 and r.similarity >= 0.8 for r in got)
