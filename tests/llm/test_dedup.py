@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -258,3 +259,55 @@ def test_passages_behind_a_first_document_that_holds_their_tokens(spark):
     got = passages.repeated_passages(df).collect()
     assert sorted({(r.doc_id, r.of_doc_id) for r in got}) == must
     assert all(r.start_word <= 70 and r.end_word >= 130 and r.similarity >= 0.8 for r in got)
+
+
+def test_passages_behind_a_first_document_that_holds_most_of_them(spark):
+    """The first document has 30 to 49 of 60 words that two later ones share: all of those meet."""
+    rnd = random.Random(23)
+    fill = lambda n: prose(rnd, n, 10**6).split()
+    for held in (30, 45, 48, 49):
+        rows = []
+        for k in range(30):
+            words = fill(60)
+            part = words[:held] if k % 2 else words[-held:]
+            for i, own in enumerate((part, words, words)):
+                rows.append((1000 * i + k, " ".join([*fill(rnd.randint(0, 80)), *own, *fill(rnd.randint(0, 80))])))
+        got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        whole = {(r.doc_id, r.of_doc_id) for r in got if r.end_word - r.start_word >= 60}
+        assert whole == {(2000 + k, 1000 + k) for k in range(30)}
+
+
+def test_long_repetitive_texts_compare_in_linear_time():
+    rnd = random.Random(24)
+    line = prose(rnd, 10, 10**6)
+    tokens = passages.tokens(" ".join([line] * 20_000).encode())
+    start = time.process_time()
+    spans = passages.matching_spans(tokens, tokens[7:], 46, 0.8)
+    assert time.process_time() - start < 20
+    assert set().union(*(range(s[0], s[1]) for s in spans)) == set(range(len(tokens)))
+
+
+def test_every_equal_gram_is_covered():
+    """Sentences dealt anew: whatever 46 tokens of one text the other holds lie in a span."""
+    rnd = random.Random(25)
+    for _ in range(20):
+        sentences = [prose(rnd, rnd.randint(8, 70), 10**6) for _ in range(12)]
+        a, b = (passages.tokens(" ".join(rnd.choice(sentences) for _ in range(60)).encode()) for _ in range(2))
+        covered = np.zeros(len(a), bool)
+        for first, end, of_first, of_end, rate in passages.matching_spans(a, b, 46, 0.8):
+            covered[first:end] = True
+            assert rate < 1 or (a[first:end] == b[of_first:of_end]).all()
+        held = {b[i : i + 46].tobytes() for i in range(len(b) - 45)}
+        assert all(covered[i : i + 46].all() for i in range(len(a) - 45) if a[i : i + 46].tobytes() in held)
+
+
+def test_sampled_grams():
+    rnd = np.random.default_rng(3)
+    for n in (46, 47, 300):
+        token = rnd.integers(0, 1 << 63, n).astype(np.uint64)
+        at, key = passages.sampled_grams(token, 46)
+        h = [passages.sampled_grams(token[i : i + 46], 46) for i in range(n - 45)]
+        assert set(at.tolist()) == {i + int(x) for i, (own, _) in enumerate(h) for x in own} and len(set(key.tolist())) == len(at)
+        assert all(any(i <= x < i + 12 for x in at) for i in range(n - 34))
+    same = np.full(60, 7, np.uint64)
+    assert len(set(passages.sampled_grams(same, 46)[1].tolist())) == 1
