@@ -24,6 +24,7 @@ from loamgrid.plans.schema import AnnotationSchema
 MAX_ANNOTATIONS = 1_000_000
 #: Ids that a lookup may list before it becomes a join.
 ID_LIST = 1_000
+LAST_ID = (1 << 63) - 1
 
 
 @dataclass
@@ -94,11 +95,14 @@ class AnnotationSet:
             out = out.withColumn("id", F.when(F.col("_found"), F.col("id")).otherwise(missing))
         return out.select("pos", *self._columns()).orderBy("pos")
 
-    def id_range(self, start: int = 0, end: int = 1_000_000_000) -> DataFrame:
-        """Annotations of ids from ``start`` up to, not including, ``end``."""
-        return self.scan().where((F.col("id") >= start) & (F.col("id") < end))
+    def id_range(self, start: int = 0, end: int | None = None) -> DataFrame:
+        """Annotations of ids from ``start`` up to, not including, ``end``; without it, all the rest."""
+        if start > LAST_ID:
+            return self.scan().limit(0)
+        rows = self.scan().where(F.col("id") >= start)
+        return rows if end is None or end > LAST_ID else rows.where(F.col("id") < end)
 
-    def iterate(self, start: int = 0, end: int = 1_000_000_000, prefetch: bool = True) -> Iterator[Row]:
+    def iterate(self, start: int = 0, end: int | None = None, prefetch: bool = True) -> Iterator[Row]:
         """Rows of an id range, a partition at a time."""
         return self.id_range(start, end).toLocalIterator(prefetchPartitions=prefetch)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
+from numbers import Integral
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,13 +76,13 @@ class Reader:
     def get_all_annotations(self, max_annotations: int = MAX_ANNOTATIONS) -> DataFrame:
         return self.data.decode_enums(self.data.scan(max_annotations))
 
-    def iter_all_ann(self, chunk_size: int = MAX_ANNOTATIONS, min_key: int = 0, max_key: int = 1_000_000_000) -> Iterator[dict]:
-        """Dicts of an id range, fetched in ranges of ``chunk_size`` ids."""
-        for start in range(min_key, max_key, chunk_size):
-            rows = self.data.iterate(start, min(start + chunk_size, max_key))
-            yield from (r.asDict() for r in rows)
-            if self.data.table.where(F.col("id") >= start + chunk_size).limit(1).count() == 0:
-                return
+    def iter_all_ann(self, chunk_size: int = MAX_ANNOTATIONS, min_key: int = 0, max_key: int | None = None) -> Iterator[dict]:
+        """Dicts of an id range (without ``max_key``, to the largest id), fetched in ranges of
+        ``chunk_size`` ids; ranges without any are passed over."""
+        start = min_key
+        while (least := self.data.id_range(start, max_key).agg(F.min("id")).first()[0]) is not None:
+            start = least + chunk_size
+            yield from (r.asDict() for r in self.data.iterate(least, start if max_key is None else min(start, max_key)))
 
     def get_by_id(self, annotation_id: int) -> dict:
         """One annotation as a dict; ``KeyError`` if there is none."""
@@ -108,6 +110,9 @@ class Reader:
         return self.data.decode_enums(self.data.candidates(spatial_key, lower_bound, upper_bound)).drop(*cells)
 
     def get_annotations_in_bounds(self, lower_bound: Sequence[float], upper_bound: Sequence[float], max_annotations: int | None = MAX_ANNOTATIONS, **options) -> DataFrame:
+        """Annotations in a box; beyond ``max_annotations`` a warning says that the rest is left out."""
+        if max_annotations is not None and self.data.in_bounds(lower_bound, upper_bound, **options).limit(max_annotations + 1).count() > max_annotations:
+            warnings.warn(f"more than {max_annotations} annotations in the box: the first by id are returned", stacklevel=2)
         return self.data.decode_enums(self.data.in_bounds(lower_bound, upper_bound, max_annotations, **options))
 
     get_by_bounding_box = get_annotations_in_bounds
@@ -140,7 +145,7 @@ class Writer:
             row.append([int(x) for x in value or [0] * p.components] if p.components > 1 else one(value or 0))
         for name in self.schema.relationships:
             value = values.get(name)
-            row.append([] if value is None else [int(value)] if isinstance(value, int) else [int(x) for x in value])
+            row.append([] if value is None else [int(value)] if isinstance(value, Integral) else [int(x) for x in value])
         self.rows.append(tuple(row))
 
     def add_point(self, point: Sequence[float], id: int | None = None, **values) -> None:

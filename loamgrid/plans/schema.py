@@ -115,6 +115,10 @@ class AnnotationSchema:
         names = [*self.parts, *(p.id for p in self.properties), *self.relationships, "id"]
         if len(set(names)) != len(names):
             raise ValueError(f"column names must differ: {names}")
+        # columns that stored tables and query results have beside these
+        own = {"pos", "morton", "_found", *(f"{n}{d}" for n in ("lo_", "hi_", "c", "_f", "_t") for d in range(self.rank))}
+        if taken := own & set(names):
+            raise ValueError(f"reserved names: {sorted(taken)}")
 
     @property
     def rank(self) -> int:

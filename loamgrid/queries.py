@@ -189,10 +189,8 @@ def q20(s, d):
 
 
 def q21(s, d):
-    b = points(s, d).bounds_frame()
-    size = (128.0, 64.0, 32.0)
-    n = [F.greatest(F.ceil((F.col(f"hi_{i}") - F.col(f"lo_{i}")) / size[i]), F.lit(1)) for i in range(3)]
-    return b.select(*[c.alias(f"n{i}") for i, c in enumerate(n)], *[(F.col(f"lo_{i}") + n[i] * size[i]).alias(f"up{i}") for i in range(3)])
+    own = grid.Grid.over(*points(s, d).bounds(), (128.0, 64.0, 32.0))
+    return s.createDataFrame([(*own.shape, *own.upper)], "n0 bigint, n1 bigint, n2 bigint, up0 double, up1 double, up2 double")
 
 
 def q22(s, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -37,10 +38,13 @@ def ship(spark: SparkSession) -> None:
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or, only where that is
-    unset (local tests), a temporary folder of this process that also becomes the checkpoint dir."""
+    unset and all runs in one process (local tests), a temporary folder of this process that also
+    becomes the checkpoint dir. A cluster without that setting is an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="loamgrid-"))
         spark.sparkContext.setCheckpointDir(_OWN_DIR[0])

@@ -101,7 +101,10 @@ class RecordLayout:
         if not value:
             return np.zeros(0, np.int64)
         (n,) = struct.unpack_from("<Q", value)
-        return np.frombuffer(value, "<u8", n, 8 + n * self.size).astype(np.int64)
+        ids = np.frombuffer(value, "<u8", n, 8 + n * self.size).astype(np.int64)
+        if len(ids) and ids.min() < 0:
+            raise ValueError("ids from 2^63 on are not supported")
+        return ids
 
     def decode_multi(self, value: bytes) -> pa.RecordBatch:
         """Rows of a multi value, without relationships; an empty value holds none."""

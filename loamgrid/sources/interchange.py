@@ -12,6 +12,7 @@ from __future__ import annotations
 import gzip
 import json
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,12 +87,14 @@ def _write_store(values: DataFrame, folder: str, spec: ShardSpec | None) -> int:
 
         files, base = fs.FileSystem.from_uri(folder)
         files.create_dir(base, recursive=True)
-        n = 0
+        n, attempt = 0, uuid.uuid4().hex
 
         def put(name: str, data: bytes) -> None:
             nonlocal n
-            with files.open_output_stream(f"{base}/{name}", compression=None) as out:
+            # a task that is run again or twice leaves whole files only
+            with files.open_output_stream(f"{base}/.{attempt}", compression=None) as out:
                 out.write(data)
+            files.move(f"{base}/.{attempt}", f"{base}/{name}")
             n += 1
 
         shard, entries = None, []

@@ -1,6 +1,8 @@
 import json
 import random
+import warnings
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,3 +259,32 @@ def test_sql_views(spark):
     data.register("shapes")
     assert spark.sql("select count(*) from shapes_links l join shapes s on l.id = s.id where related_id = 5").first()[0] == data.by_relationship("a", 5).count()
     assert isinstance(data, AnnotationSet)
+
+
+def test_large_ids_and_iteration(spark):
+    w = Writer(spark, "point", relationships=("r",))
+    for k in (3, 5_000_000_000, (1 << 63) - 1):
+        w.add_point((1, 2, 3), id=k, r=np.int64(k))
+    r = Reader(w.build())
+    assert [x["id"] for x in r.iter_all_ann()] == [3, 5_000_000_000, (1 << 63) - 1]
+    assert [x["id"] for x in r.iter_all_ann(chunk_size=1, max_key=6_000_000_000)] == [3, 5_000_000_000]
+    assert r.data.id_range().count() == 3 and r.get_by_id(5_000_000_000)["r"] == [5_000_000_000]
+    layout = codec.RecordLayout(r.data.schema)
+    with pytest.raises(ValueError):
+        layout.decode_ids(layout.encode_multi(bytes(layout.size), np.array([1 << 63], np.uint64)))
+
+
+def test_truncation_warns(spark):
+    r = Reader(small(spark))
+    with pytest.warns(UserWarning, match="more than 4 "):
+        assert r.get_annotations_in_bounds([0, 0, 0], [40, 40, 40], max_annotations=4).count() == 4
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert r.get_annotations_in_bounds([0, 0, 0], [40, 40, 40], max_annotations=30).count() == 30
+
+
+def test_reserved_names():
+    for name in ("lo_0", "hi_2", "c1", "pos", "morton", "_found"):
+        with pytest.raises(ValueError, match="reserved"):
+            AnnotationSchema("point", properties=(PropertySpec(name, "uint8"),))
+    AnnotationSchema("point", properties=(PropertySpec("lo_3", "uint8"), PropertySpec("level", "uint8")))
