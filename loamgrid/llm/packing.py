@@ -135,7 +135,7 @@ def pack(items: DataFrame, capacity: int, slack: int | None = None) -> DataFrame
     """Pack items (``closed``, ``sequence_id``, ``fill``, ``parts``) up the tree; one row per piece.
 
     A round's tasks hold ``CHUNK_ITEMS`` underfull bins each, so there are fewer and fewer of them;
-    the last round has one, or ends where bins fit together no more."""
+    the last round has one, or saved nothing: bins are dealt anew in every round."""
     slack = max(1, capacity // 256) if slack is None else slack
     tables = [settle(items.mapInArrow(_packer(capacity, slack, 0), _BINS_SQL), "pack0")]
     open_bins = tables[0].where(~F.col("closed"))
@@ -145,7 +145,7 @@ def pack(items: DataFrame, capacity: int, slack: int | None = None) -> DataFrame
         tables.append(settle(open_bins.repartition(parts).mapInArrow(_packer(capacity, slack, level), _BINS_SQL), f"pack{level}"))
         open_bins = tables[-1].where(~F.col("closed"))
         was, left = left, open_bins.count()
-        if parts == 1 or left > 0.98 * was:
+        if parts == 1 or left == was:
             break
     whole = tables[-1]
     for t in tables[:-1]:

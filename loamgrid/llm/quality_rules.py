@@ -116,14 +116,15 @@ def _key(c: Column) -> Column:
 def _groups(keyed: DataFrame) -> DataFrame:
     """``lang_key, source_key -> g``: the pair itself if large enough; else the small sources of the
     language together; else all rows whose language's are too few as well. What is then still too
-    small for an estimate has no group."""
+    small for an estimate has no group. ``fitted`` says which it is: own, lang or all."""
     n = keyed.groupBy("lang_key", "source_key").agg(F.count("*").alias("n"))
     small = n.where(F.col("n") < MIN_GROUP).groupBy("lang_key").agg(F.sum("n").alias("pooled"))
     own = F.concat(F.lit("s"), F.col("lang_key"), F.lit("\x01"), F.col("source_key"))
     g = F.when(F.col("n") >= MIN_GROUP, own).when(F.col("pooled") >= MIN_GROUP, F.concat(F.lit("l"), F.col("lang_key"))).otherwise(F.lit("a"))
     named = n.join(small, "lang_key", "left").select("lang_key", "source_key", "n", g.alias("g"))
     enough = named.groupBy("g").agg(F.sum("n").alias("all")).where(F.col("all") >= MIN_FIT)
-    return named.join(enough, "g", "left_semi").select("lang_key", "source_key", "g")
+    level = F.when(F.col("g").startswith("s"), "own").when(F.col("g").startswith("l"), "lang").otherwise("all")
+    return named.join(enough, "g", "left_semi").select("lang_key", "source_key", "g", level.alias("fitted"))
 
 
 # -- moments and matrices per group ---------------------------------------------------------------
@@ -210,7 +211,8 @@ def fit(rows: DataFrame) -> DataFrame:
 
 # -- verdicts -------------------------------------------------------------------------------------
 def verdicts(docs: DataFrame, text_col: str = "text", tail: float = TAIL, carry: list[str] | None = None) -> DataFrame:
-    """``row`` (the columns of ``docs``, or those to ``carry``, ``lang`` and ``source`` among them), ``s`` (statistics), ``base_failed``, ``distance`` and ``kept``.
+    """``row`` (the columns of ``docs``, or those to ``carry``, ``lang`` and ``source`` among them), ``s`` (statistics), ``base_failed``, ``distance``, ``fitted`` (whose
+    estimate it is: of the own language and source, the lang, all, or none) and ``kept``.
 
     Rows that fail the base rules are rejected and take no part in the estimates; other rows are
     rejected if their squared Mahalanobis distance exceeds the chi-square quantile of ``tail``. Null
@@ -229,15 +231,18 @@ def verdicts(docs: DataFrame, text_col: str = "text", tail: float = TAIL, carry:
     met = join_small(keyed, model, ["lang_key", "source_key"], "salt_by")
     x = [c.cast("double") for c in features().values()]
     distance = F.when(~base_failed(), _distance(x, F.col("m"), F.col("inv")))
-    return met.select("row", "s", base_failed().alias("base_failed"), distance.alias("distance")).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > chi2_quantile(tail, _P), F.lit(False)))
+    return met.select("row", "s", base_failed().alias("base_failed"), distance.alias("distance"), F.coalesce("fitted", F.lit("none")).alias("fitted")).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > chi2_quantile(tail, _P), F.lit(False)))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """One row per document: ``doc_id``, the five statistics, ``base_failed``, ``kept``, ``distance``."""
+    """One row per document: ``doc_id``, the five statistics, ``base_failed``, ``kept``, ``distance``, ``fitted``."""
     out = verdicts(docs, carry=["doc_id", "lang", "source"])
-    return out.select(F.col("row.doc_id").alias("doc_id"), *[f"s.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "distance")
+    return out.select(F.col("row.doc_id").alias("doc_id"), *[f"s.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "distance", "fitted")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns as they are."""
+    """The rows of ``docs`` that the rules keep, with their columns as they are.
+
+    Null and empty texts go (they have no words); null languages and sources are groups of their own;
+    repeated rows are kept or go alike; an empty table stays empty."""
     return verdicts(docs).where("kept").select("row.*")

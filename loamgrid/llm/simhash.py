@@ -15,16 +15,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, trim
+from .common import join_small, settle, trim
 from .components import components
 
 BITS = 64
 SEED = 42
 _CHUNK = 65_536
-#: Ids from here on stand for fingerprints of which no document has an id; documents' ids are smaller.
+#: Ids from here on stand for fingerprints of which no document has an id to give; documents' ids are smaller.
 UNNAMED = 1 << 62
 
 
@@ -46,17 +46,18 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint as a signed bigint) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> DataFrame:
+    """``doc_id``, ``fp`` (the fingerprint as a signed bigint) and ``carry`` (a bigint, if given) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            kept = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(fps, pa.int64())], [*kept, "fp"])
         trim()
 
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, fp bigint")
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *([] if carry is None else [carry.alias("carry")]))
+    return source.mapInArrow(run, "doc_id bigint, fp bigint" if carry is None else "doc_id bigint, carry bigint, fp bigint")
 
 
 class Ring:
@@ -172,28 +173,45 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, id
     any other. A null ``doc_id`` stays null and counts for no minimum (a component of nulls alone has
     a null id); repeated rows stay repeated; an empty table gives no rows; other columns are ignored.
     """
-    docs_fp = settle(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    # a fingerprint goes by its smallest document, so that roots are document ids at once
-    unnamed = F.col("fp").bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED))
-    nodes = settle(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", unnamed).alias("node")), "fingerprint-nodes")
+    near = near_groups(docs, shingle, max_distance, id_col, text_col)
+    return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_groups(docs: DataFrame, shingle: int = 4, max_distance: int = 4, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> DataFrame:
+    """``doc_id, fp, component_id``, the component's own ``group`` and what each row is to ``carry``."""
+    docs_fp = settle(fingerprints(docs, shingle, id_col, text_col, carry), "fingerprints")
+    # A fingerprint goes by its smallest document, so that roots are document ids at once. If one id is
+    # the smallest of several fingerprints, all but the first of them go by a number of their own.
+    least = settle(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
+    shared = least.where(F.col("least").isNotNull()).groupBy("least").agg(F.min("fp").alias("first"), F.count("*").alias("n")).where("n > 1").select("least", "first")
+    own = F.col("fp").bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED))
+    named = F.col("least").isNotNull() & F.coalesce(F.col("first") == F.col("fp"), F.lit(True))
+    nodes = settle(join_small(least, settle(shared, "shared"), ["least"], "fp").select("fp", "least", F.when(named, F.col("least")).otherwise(own).alias("node")), "fingerprint-nodes")
     pairs = near_links(nodes.select("fp"), max_distance)
     for end in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")), end)
     roots = components(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
-    found = F.coalesce("root", "node")
-    rooted = nodes.join(roots, "node", "left").select("fp", F.when(found < UNNAMED, found).alias("component_id"))
-    return docs_fp.join(rooted, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = nodes.join(roots, "node", "left").select("fp", "least", "node", F.coalesce("root", "node").alias("group"))
+    other = settle(rooted.where((F.col("node") >= UNNAMED) & F.col("least").isNotNull()).groupBy("group").agg(F.min("least").alias("id")), "shared")
+    found = F.least(F.when(F.col("group") < UNNAMED, F.col("group")), F.col("id"))
+    rooted = join_small(rooted, other, ["group"], "fp").select("fp", "group", found.alias("component_id"))
+    return docs_fp.join(rooted, "fp")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, max_distance: int = 4) -> DataFrame:
-    """The documents of ``docs``, one of each near-duplicate group: that with the smallest ``doc_id``.
+    """The rows of ``docs``, one of each near-duplicate group: that with the smallest ``doc_id`` and, of
+    these, the smallest text hash.
 
-    Columns stay as they are. Rows without ``doc_id`` can't be named and stay. Of rows that share a
-    ``doc_id``, the first by text hash stays.
+    Groups are of texts: unlike texts under one ``doc_id`` are groups of their own. Columns stay as
+    they are. Rows without ``doc_id`` can't be named and stay; null and empty texts are one group; of
+    rows equal in id and text one stays, whatever their other columns hold; an empty table stays empty.
     """
-    kept = near_duplicates(docs, shingle, max_distance).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
-    n = "_n" + "_" * max(map(len, docs.columns))
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = named.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
-    return named.select(docs.columns).unionAll(docs.where(F.col("doc_id").isNull()).select(docs.columns))
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    near = near_groups(texts.where(F.col("doc_id").isNotNull()), shingle, max_distance, carry=F.xxhash64("text"))
+    # a group's root names its id; ties under that id go by text hash
+    kept = near.where("doc_id = component_id").groupBy("component_id", "group").agg(F.min("carry").alias("h")).select(F.col("component_id").alias("doc_id"), "h").distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h"))
+    met = rows.join(kept, ["doc_id", "h"], "left_semi")
+    # repeats of one row lie together; whole texts are not ordered, the first that comes stays
+    one = met.groupBy("doc_id", "h").agg(F.first("row").alias("row"))
+    return one.select("row.*").unionAll(docs.where(F.col("doc_id").isNull()).select(docs.columns))

@@ -123,6 +123,27 @@ def test_keep_one(edge_docs):
     assert sum(r.doc_id is None for r in got.collect()) == 2
 
 
+def test_unlike_texts_under_one_id_are_documents_of_their_own(spark):
+    """Groups are of texts, whatever order rows come in: no unlike text goes, no duplicate stays."""
+    rnd = random.Random(41)
+    a, u, v = (prose(rnd, 120, 10**6) for _ in range(3))
+    near = a.split()
+    near[60] = "changed"
+    cases = [
+        ([(3, a), (5, u), (5, a)], [(3, a), (5, u)]),
+        ([(5, u), (5, a), (7, a), (9, u)], [(5, a), (5, u)]),
+        ([(5, u), (5, a), (5, v), (4, v), (6, u), (7, u)], [(4, v), (5, a), (5, u)]),
+        ([(1, None), (1, ""), (2, None), (1, a), (1, a)], None),
+    ]
+    for rows, want in cases:
+        for _ in range(2):
+            rnd.shuffle(rows)
+            df = spark.createDataFrame(rows, "doc_id bigint, text string")
+            check(rows, simhash.near_duplicates(df).collect())
+            got = sorted((r.doc_id, r.text or "") for r in simhash.keep_one(df).collect())
+            assert got == (want or sorted([(1, ""), (1, a)]))
+
+
 @pytest.fixture(scope="module")
 def planted():
     """(rows, {doc_id: words that must be covered}): passages repeated exactly and nearly."""
