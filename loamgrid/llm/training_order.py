@@ -13,6 +13,7 @@ slots): cheaper at scale than holding all sequences on disk between the passes.
 from __future__ import annotations
 
 import base64
+import re
 import struct
 import uuid
 import zlib
@@ -28,6 +29,8 @@ from .common import settle, shared_path
 
 LENGTH, SHARD_SLOTS, KEY = 512, 16_384, 0x5EED
 ROUNDS = 6
+#: Shards that a task writes at most, where there are more of them than shuffle partitions.
+TASK_SHARDS = 8
 MAGIC, HEADER = b"LGSEQ001", 64
 #: Record: doc_id (minimum of int64 for null), piece, ids in use; then LENGTH ids of 16 bits.
 _HEAD = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("length", "<i4")])
@@ -71,6 +74,18 @@ class Permutation:
         return self._walk(slot, back=True)
 
 
+#: White space in a row from which texts are cut before the library sees them.
+LONG_RUN = 10_000
+#: White space as the pattern knows it, which str.isspace() and ``re`` don't: no separators 1C to 1F.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What no pre-token crosses: a word with the space before it; white space but for the sign that
+#: joins the next word or stands alone; that sign.
+_CHUNK = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]")
+_EDGE = re.compile(f"[{_WHITE}]")
+_RUN = re.compile(f"[{_WHITE}]{{{LONG_RUN}}}")
+#: Fixed value: the pattern (that of the published rank files) whose pre-tokens are known to end before
+#: a single space between words. With any other, texts go to the library whole.
+SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _LOADED: dict = {}
 
 
@@ -85,12 +100,45 @@ def encoder(path: str, pattern: str):
     return _LOADED[path]
 
 
+class RankIds:
+    """Ids of whole texts as 16-bit numbers."""
+
+    def __init__(self, path: str, pattern: str):
+        self.library, self.end = encoder(path, pattern)
+        if self.end > 0xFFFF:
+            raise ValueError(f"ids up to {self.end} do not fit 16 bits")
+        self.spaced = pattern == SPACED_PATTERN
+
+    def _chunk(self, chunk: str) -> list[int]:
+        """Ids of what ``_CHUNK`` finds; a run of white space is one pre-token, however long."""
+        if _EDGE.match(chunk) and (chunk[0] != " " or len(chunk) == 1 or _EDGE.match(chunk, 1)):
+            return self.library._core_bpe.encode_single_piece(chunk.encode())
+        return self.library.encode_ordinary(chunk)
+
+    def by_chunks(self, text: str) -> np.ndarray:
+        return np.array([i for c in _CHUNK.findall(text) for i in self._chunk(c)], "<u2")
+
+    def text(self, text: str) -> np.ndarray:
+        if len(text) > LONG_RUN and self.spaced and _RUN.search(text):  # beyond what the library's pattern bears
+            return self.by_chunks(text)
+        return self.library.encode_to_numpy(text, disallowed_special=()).astype("<u2")  # it knows no special tokens
+
+
+_IDS: dict[tuple[str, str], RankIds] = {}
+
+
+def rank_ids(path: str, pattern: str) -> RankIds:
+    if (path, pattern) not in _IDS:
+        _IDS[path, pattern] = RankIds(path, pattern)
+    return _IDS[path, pattern]
+
+
 def sequences(texts: DataFrame, path: str, pattern: str, length: int, plan: tuple[list[int], int, int, int] | None) -> DataFrame:
     """Without ``plan`` the number of sequences per task; with it (offsets, n, key, slots of a shard) the sequences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path, pattern)
-        part, count, last = TaskContext.get().partitionId(), 0, np.array([end], "<u2").tobytes()
+        own = rank_ids(path, pattern)
+        part, count, last = TaskContext.get().partitionId(), 0, np.array([own.end], "<u2").tobytes()
         if plan is not None:
             offsets, n, key, shard_slots = plan
             order, limit = Permutation(n, key), offsets[part + 1] - offsets[part]
@@ -104,11 +152,10 @@ def sequences(texts: DataFrame, path: str, pattern: str, length: int, plan: tupl
         for batch in batches:
             docs, pieces, ids = [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                own = encode.encode_to_numpy(text.as_py(), disallowed_special=())  # the encoder knows no special tokens
                 if plan is None:
-                    count += -(-(len(own) + 1) // length)
+                    count += -(-(len(own.text(text.as_py())) + 1) // length)
                     continue
-                raw = own.astype("<u2").tobytes() + last
+                raw = own.text(text.as_py()).tobytes() + last
                 for k, at in enumerate(range(0, len(raw), 2 * length)):
                     docs.append(doc)
                     pieces.append(k)
@@ -188,7 +235,10 @@ def write_shards(docs: DataFrame, folder: str, path: str, pattern: str, length:
     offsets = np.concatenate([[0], np.cumsum(per_part)]).tolist()
     n = offsets[-1]
     rows = sequences(texts, path, pattern, length, (offsets, n, key, shard_slots))
-    dealt = rows.repartition("shard").sortWithinPartitions("slot")
+    # a task writes a range of shards; their number is known, so that no pass is spent on finding ranges
+    shards = -(-n // shard_slots)
+    tasks = max(1, min(shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // TASK_SHARDS))))
+    dealt = rows.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {max(1, shards)} as int)")).sortWithinPartitions("slot")
     return settle(dealt.mapInArrow(_writer(folder, length, shard_slots, n, key), "path string, first_slot bigint, records bigint"), "shards")
 
 

@@ -158,3 +158,62 @@ def test_training_order(spark, edge_docs, edge_rows, tmp_path):
     by_slot = {r.slot: r for r in got}
     assert at == 137 and [by_slot[at + i].piece for i in range(5)] == rows["piece"][:5].tolist()
     assert training_order.training_order(edge_docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+RUNS = ["\n\n\n a  b\n", "a\n b \nc", "x\u3000y \u2028z", " lead", "a \x1c b \x1fc", "\x1c", " \x1d", "it's  they'll\t'd ", "\n" * 300 + "a" + " " * 90 + "\n" * 70 + "b c", "tail  ", "w" * 100 + "\n" * 100 + "v w", "a\u200bb \u180e c", "\r\n \r\nq"]
+
+
+@pytest.mark.parametrize("spaced", [True, False])
+def test_rank_ids_equal_the_library(texts, spaced, monkeypatch):
+    if not spaced:
+        monkeypatch.setattr(training_order, "SPACED_PATTERN", "another")
+    own = training_order.RankIds(RANKS, public_tokenizers.PATTERN)
+    assert own.spaced == spaced
+    rnd = random.Random(31)
+    mixed = ["".join(rnd.choice(["a", "Bc", "9", "'s", ",", " ", "  ", "\n", "\t", "\x1e", "\xa0", "\u3000", "é日"]) for _ in range(rnd.randint(0, 60))) for _ in range(3000)]
+    for t in [*texts, *RUNS, *mixed]:
+        ids = own.library.encode_ordinary(t)
+        assert own.text(t).tolist() == ids and own.by_chunks(t).tolist() == ids, t[:80]
+
+
+def test_rank_ids_of_endless_runs():
+    """A million of one sign in a row: white space beyond what the library's pattern bears, and others."""
+    own = training_order.RankIds(RANKS, public_tokenizers.PATTERN)
+    for sign in " \n\u3000a9#":
+        text = f"b {sign * 1_000_000}c"
+        ids = own.text(text).tolist()
+        assert own.library.decode(ids) == text
+    n = 100_000  # what the library still bears
+    assert own.text("b" + " " * n + "c").tolist() == own.library.encode_ordinary("b" + " " * n + "c")
+
+
+def test_slots_follow_from_task_place_and_key(spark, tmp_path):
+    """Every sequence lies at the slot that the permutation gives its number: tasks in turn, rows in turn."""
+    docs = spark.createDataFrame([(i, " ".join(["word"] * (i % 40))) for i in range(400)], "doc_id bigint, text string").repartition(5).cache()
+    encoder, end = training_order.encoder(RANKS, public_tokenizers.PATTERN)
+    numbered = []
+    for part in docs.rdd.glom().collect():
+        for r in part:
+            n = len(encoder.encode_ordinary(r.text)) + 1
+            numbered += [(r.doc_id, k) for k in range(-(-n // 8))]
+    manifest = training_order.write_shards(docs, f"file://{tmp_path}/s", RANKS, public_tokenizers.PATTERN, length=8, shard_slots=64, key=99)
+    got = {(r.doc_id, r.piece): r.slot for r in training_order.read_shards(manifest).collect()}
+    slots = training_order.Permutation(len(numbered), 99).slot(np.arange(len(numbered)))
+    assert got == dict(zip(numbered, slots.tolist()))
+    assert [r.first_slot for r in manifest.orderBy("path").collect()] == list(range(0, len(numbered), 64))
+    docs.unpersist()
+
+
+def test_budgets_from_the_stored_table(spark, edge_docs, edge_rows):
+    """Any budget is answered from the written counts, without the text."""
+    table = prefix_tokens.prefix_table(edge_docs, PIECE).cache()
+    assert "text" not in table.columns
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    for limit in (0, 1, 30, 200):
+        for (_, text, *_), r in zip(edge_rows, prefix_tokens.fit_budget(table, limit).collect(), strict=True):
+            text = text or ""
+            counts = prefix_tokens.counts_of(r.steps)
+            assert len(counts) == len(text) == r.n_chars and r.over_limit == (r.n_tokens > limit)
+            assert r.fit_chars == max([0, *(i + 1 for i, c in enumerate(counts) if c <= limit)])
+            assert len(library.encode(text[: r.fit_chars])) <= limit
+    table.unpersist()
