@@ -8,20 +8,24 @@ memo of neighbouring pairs. Truncation and budget questions are then lookups in
 
 Pieces hold the space sign only in front, so a text falls into units (spaces, then a word) that
 never merge with each other; characters without a piece are bytes of their own and cut units too.
-Counts of a unit's prefixes are kept in a bounded cache per Python worker.
+What a unit's characters add to the count is kept in a bounded cache per Python worker, and of every
+document a table keeps it, a byte per character.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Cache
+from .common import Cache, settle
 
 SPACE = "▁"
 CACHE_ENTRIES = 600_000
@@ -118,17 +122,16 @@ class PrefixCounter:
             self.states.put(text[:i], (count, last, start))
         return count, last, start
 
-    def total(self, unit: str) -> int:
-        """Tokens of a unit."""
+    def steps(self, unit: str) -> bytes:
+        """What each character of a unit adds to the count, as signed bytes; they sum up to its tokens."""
         found = self.totals.recall(unit)
         if found is None:
             stem = unit.rstrip(_TAIL)
             if stem and len(stem) < len(unit) and unit[len(stem) - 1 : len(stem) + 1] not in self.inside:
-                found = self.total(stem) + self.total(unit[len(stem) :])
-            elif len(unit) <= LONG_UNIT:
-                found = self._state(unit)[0]
+                found = self.steps(stem) + self.steps(unit[len(stem) :])
             else:
-                found = self.unit(unit)[-1]
+                counts = self.unit(unit)
+                found = array("b", [b - a for a, b in zip([0, *counts], counts)]).tobytes()  # OverflowError beyond a byte
             if len(unit) <= LONG_UNIT:
                 self.totals.put(unit, found)
         return found
@@ -160,32 +163,39 @@ class PrefixCounter:
         """The text's units: spaces with the word after them; line feeds, which have no piece, alone."""
         return _UNIT.findall(self.front + text.replace(" ", SPACE)) if text else []
 
+    def text_steps(self, text: str) -> bytes:
+        """The steps of a whole text: a signed byte per character, that of the first with the model's front."""
+        units = self.split(text)
+        parts = list(map(self.totals.new.get, units))
+        k = -1
+        for _ in range(parts.count(None)):
+            k = parts.index(None, k + 1)
+            parts[k] = self.steps(units[k])
+        steps = b"".join(parts)
+        if not self.front or not steps:
+            return steps
+        first = (steps[0] + steps[1] + 128) % 256 - 128  # the front is one character, each step small
+        return first.to_bytes(1, "little", signed=True) + steps[2:]
+
     def prefix_counts(self, text: str) -> np.ndarray:
         """Tokens of ``text[:i]`` for i = 1, 2, ...; the last entry is that of the whole text."""
-        out, base = [], 0
-        for u in self.split(text):
-            found = self.unit(u)
-            out += [base + x for x in found]
-            base += found[-1]
-        return np.array(out[len(self.front) :], np.int64)
+        return counts_of(self.text_steps(text))
 
     def count(self, text: str, budget: int) -> tuple[int, int]:
         """Tokens of the text; characters of its longest prefix of at most ``budget`` tokens."""
-        units = self.split(text)
-        counts = list(map(self.totals.new.get, units))
-        if None in counts:
-            total = self.total
-            counts = [total(u) if c is None else c for u, c in zip(units, counts)]
-        n = sum(counts)
-        if n <= budget:
-            return n, len(text)
-        # a unit's prefixes hold a token at least: only the unit that crosses the budget is open
-        k, base = 0, 0
-        while base + counts[k] <= budget:
-            base += counts[k]
-            k += 1
-        fit = sum(map(len, units[:k])) + max([0, *(i for i, x in enumerate(self.unit(units[k]), 1) if base + x <= budget)])
-        return n, max(0, fit - len(self.front))
+        counts = self.prefix_counts(text)
+        return int(counts[-1]) if len(counts) else 0, longest_prefix(counts, budget)
+
+
+def counts_of(steps: bytes) -> np.ndarray:
+    """The token count at every prefix, of 1, 2, ... characters."""
+    return np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64)
+
+
+def longest_prefix(counts: np.ndarray, budget: int) -> int:
+    """Characters of the longest prefix within a budget; counts may fall where a longer piece forms."""
+    within = np.flatnonzero(counts <= budget)
+    return int(within[-1]) + 1 if len(within) else 0
 
 
 _LOADED: dict[str, PrefixCounter] = {}
@@ -197,31 +207,48 @@ def counter(path: str) -> PrefixCounter:
     return _LOADED[path]
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", prefixes: bool = False) -> DataFrame:
-    """Token counts of every whole text; null texts count as empty.
-
-    Returns per row: ``doc_id`` (null stays null), ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit``
-    (more than ``limit`` tokens), ``fit_chars`` (characters of the longest prefix within ``limit``)
-    and, with ``prefixes``, ``prefix_tokens``: the count at every prefix, one per character. Rows are
-    independent: repeats, empty tables and columns with clashing names need no care; no shuffle.
-    """
-    schema = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint" + (", prefix_tokens array<int>" if prefixes else "")
+def prefix_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``doc_id`` (null stays null), ``n_bytes`` (UTF-8), ``n_chars``, ``n_tokens``
+    and ``steps``: what each character adds to the token count, a signed byte each, so that the count
+    at every prefix is their running sum. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         for batch in batches:
-            size, counts, all_counts = [], [], []
-            for text in batch.column("text"):
-                text = text.as_py()
-                size.append(len(text.encode()))
-                counts.append(own.count(text, limit))
-                if prefixes:
-                    all_counts.append(own.prefix_counts(text).tolist())
-            n = np.array([c[0] for c in counts], np.int64)
-            columns = {"doc_id": batch.column("doc_id"), "n_bytes": pa.array(size, pa.int64()), "n_tokens": pa.array(n), "over_limit": pa.array(n > limit), "fit_chars": pa.array([c[1] for c in counts], pa.int64())}
-            if prefixes:
-                columns["prefix_tokens"] = pa.array(all_counts, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_pydict(columns)
+            texts = [t.as_py() for t in batch.column("text")]
+            steps = [own.text_steps(t) for t in texts]
+            n = [int(np.frombuffer(s, np.int8).sum(dtype=np.int64)) for s in steps]
+            fields = {"n_bytes": [len(t.encode()) for t in texts], "n_chars": list(map(len, texts)), "n_tokens": n}
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in fields.values()], pa.array(steps, pa.binary())], ["doc_id", *fields, "steps"])
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_chars bigint, n_tokens bigint, steps binary")
+
+
+def fit_budget(table: DataFrame, limit: int) -> DataFrame:
+    """The rows of a prefix table with ``over_limit`` (more than ``limit`` tokens) and ``fit_chars``
+    (characters of the longest prefix within it), from the stored counts alone."""
+    over = F.col("n_tokens") > limit
+
+    def run(steps: pd.Series) -> pd.Series:
+        return pd.Series([0 if s is None else longest_prefix(counts_of(s), limit) for s in steps], dtype="int64")
+
+    fits = F.pandas_udf(run, T.LongType())(F.when(over, F.col("steps")))  # others travel as nulls
+    return table.select("*", over.alias("over_limit"), F.when(over, fits).otherwise(F.col("n_chars")).alias("fit_chars"))
+
+
+def count_tokens(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", prefixes: bool = False, stored: bool = False) -> DataFrame:
+    """Token counts of every whole text; null texts count as empty.
+
+    The counts come from the prefix table, ``stored`` in the shared folder if asked. Returns per row:
+    ``doc_id`` (null stays null), ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit`` (more than
+    ``limit`` tokens), ``fit_chars`` (characters of the longest prefix within ``limit``) and, with
+    ``prefixes``, ``prefix_tokens``: the count at every prefix, one per character. Rows are
+    independent: repeats, empty tables and columns with clashing names need no care; no shuffle.
+    """
+    table = prefix_table(docs, path, id_col, text_col)
+    out = fit_budget(settle(table, "prefix-tokens") if stored else table, limit)
+    if prefixes:
+        listed = F.pandas_udf(lambda steps: pd.Series([counts_of(s).tolist() for s in steps], dtype=object), T.ArrayType(T.IntegerType()))
+        out = out.withColumn("prefix_tokens", listed("steps"))
+    return out.drop("steps", "n_chars")

@@ -42,7 +42,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefix_tokens.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return prefix_tokens.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), stored=True)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
