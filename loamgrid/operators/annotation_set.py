@@ -64,7 +64,12 @@ class AnnotationSet:
 
     def by_id(self, annotation_id: int) -> DataFrame:
         """The annotation of an id, as a table of one row or none."""
-        return self.scan().where(F.col("id") == F.lit(annotation_id))
+        return self._by_key([int(annotation_id)])
+
+    def _by_key(self, ids: Sequence[int]) -> DataFrame:
+        """Annotations of a short list of ids."""
+        same = F.col("id") == F.lit(ids[0]) if len(ids) == 1 else F.col("id").isin(list(ids))
+        return self.scan().where(same)
 
     def get(self, annotation_id: int) -> Row:
         rows = self.by_id(annotation_id).take(1)
@@ -86,7 +91,7 @@ class AnnotationSet:
             spark = self.table.sparkSession
             wanted = spark.createDataFrame(list(enumerate(ids)), "pos int, id bigint")
             # a short list is pushed to the scan, a long one is left to the join
-            found = self.scan().where(F.col("id").isin(sorted(set(ids)))) if 0 < len(ids) <= ID_LIST else self.scan()
+            found = self._by_key(sorted(set(ids))) if 0 < len(ids) <= ID_LIST else self.scan()
             wanted = F.broadcast(wanted) if len(ids) <= 100 * ID_LIST else wanted
         marked = found.withColumn("_found", F.lit(True))
         out = marked.join(wanted, "id", "inner" if on_missing == "skip" else "right")
@@ -119,10 +124,13 @@ class AnnotationSet:
             return self.table.sparkSession.createDataFrame([], "relationship string, related_id bigint, id bigint, pos int")
         return out
 
-    def by_relationship(self, relationship: str, related_id: int, with_relationships: bool = False) -> DataFrame:
-        """Annotations linked to an object."""
+    def _check_relationship(self, relationship: str) -> None:
         if relationship not in self.schema.relationships:
             raise ValueError(f"unknown relationship {relationship!r}; known: {list(self.schema.relationships)}")
+
+    def by_relationship(self, relationship: str, related_id: int, with_relationships: bool = False) -> DataFrame:
+        """Annotations linked to an object."""
+        self._check_relationship(relationship)
         rows = self.scan(with_relationships=with_relationships)
         if self.link_table is None:
             return self.table.where(F.array_contains(relationship, F.lit(related_id).cast("bigint"))).select(*rows.columns)

@@ -10,8 +10,8 @@ from loamgrid.functions.sharding import ShardSpec, choose_spec, shard_column
 from loamgrid.operators.annotation_set import AnnotationSet
 from loamgrid.operators.builder import auto_id, build
 from loamgrid.plans.schema import AnnotationSchema, PropertySpec
-from loamgrid.session import ship
-from loamgrid.sources import codec
+from loamgrid.session import exists, shared_path, ship
+from loamgrid.sources import codec, interchange, store
 
 EVENT_TYPES = ("signup", "purchase", "error", "view", "click")
 WIDE = ([10.0, 920.0, 20.0], [30.0, 960.0, 60.0])
@@ -251,6 +251,70 @@ def q32(s, d):
     return points(s, d).ids().select("id", shard_column(F.col("id") * 1024, spec).alias("s")).select("id", "s.shard", "s.minishard")
 
 
+# -- queries over written sets -----------------------------------------------------------------------------
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def written(s: SparkSession, d: str, layout: str) -> AnnotationSet:
+    """The boxes, written once per application in a layout ("native", "packed" or "plain") and opened again."""
+    at = (s.sparkContext.applicationId, d, layout)
+    if at not in _WRITTEN or not exists(s, f"{_WRITTEN[at]}/info"):
+        path = shared_path(s, f"boxes-{layout}")
+        if layout == "native":
+            store.write(boxes(s, d), path)
+        else:
+            interchange.write(boxes(s, d), path, sharded=layout == "packed")
+        _WRITTEN[at] = path
+    return store.open_set(s, _WRITTEN[at])
+
+
+def _stored(layout: str) -> dict:
+    def scan(s, d):
+        rows = written(s, d, layout).scan()
+        return _flat(rows.withColumns({"size": F.col("size").cast("int"), "suppliers": F.size("supplier"), "first": F.get("supplier", F.lit(0))}), "size", "suppliers", "first", **_AB)
+
+    def by_ids(s, d):
+        return _flat(written(s, d, layout).by_ids([41, 7, 99, 7, 1 << 40], on_missing="skip"), "pos", **_AB)
+
+    def related(s, d):
+        return _flat(written(s, d, layout).by_relationship("supplier", 3), **_AB)
+
+    def related_full(s, d):
+        rows = written(s, d, layout).by_relationship("supplier", 3, with_relationships=True)
+        return rows.select("id", F.col("size").cast("int").alias("size"), F.explode("supplier").alias("supplier"))
+
+    def nobody(s, d):
+        return _flat(written(s, d, layout).by_relationship("supplier", 1 << 40), **_AB)
+
+    def cell(s, d):
+        return _flat(written(s, d, layout).in_cell("spatial0", (1, 1, 1)), **_AB)
+
+    def bounds(s, d):
+        return _flat(written(s, d, layout).in_bounds(*WIDE), **_AB)
+
+    def bounds_limit(s, d):
+        return _flat(written(s, d, layout).in_bounds(*WIDE, limit=5), **_AB)
+
+    def cells(s, d):
+        return written(s, d, layout).cells(0).select("id", "c0", "c1", "c2")
+
+    def level(s, d):
+        x = written(s, d, layout).levels()[0]
+        return s.createDataFrame([(x.key, *x.grid_shape, *x.chunk_size, x.limit)], "key string, n0 bigint, n1 bigint, n2 bigint, s0 double, s1 double, s2 double, most bigint")
+
+    return {f"{name}_{layout}": f for name, f in (("q33_scan", scan), ("q34_by_ids", by_ids), ("q35_related", related), ("q36_related_full", related_full), ("q37_related_none", nobody), ("q38_cell", cell), ("q39_bounds", bounds), ("q40_bounds_limit", bounds_limit), ("q41_cells", cells), ("q42_level", level))}
+
+
+def q43(s, d):
+    data = boxes(s, d)
+    return codec.encode_by_id(data.scan(), data.schema).agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("bytes"))
+
+
+def q44(s, d):
+    data = points(s, d)
+    return data.decode_enums(data.in_bounds(*POINTS).where("kind < 3"), strict=True).select("id", "kind")
+
+
 QUERIES = {
     "q01_full_scan": q01, "q02_get_by_id": q02, "q03_get_by_ids": q03, "q04_list_ids": q04, "q05_by_relationship": q05, "q06_by_relationship_full": q06, "q07_rel_index": q07,
     "q08_key_range": q08, "q09_enum_decode": q09, "q10_geometry_split": q10, "q11_bounds_point": q11, "q12_bounds_line": q12, "q12_bounds_line_exact": q12_exact, "q13_bounds_box": q13,
@@ -258,6 +322,7 @@ QUERIES = {
     "q17_cell_scan": q17, "q18_candidates": q18, "q18_bounds_bag": q18_bag, "q19_cell_enumeration": q19, "q20_global_bounds": q20, "q21_grid_shape": q21, "q22_morton": q22,
     "q23_morton_inverse": q23, "q24_roundtrip_by_id": q24, "q25_roundtrip_cell": q25, "q26_shard_spec": q26, "q27_auto_id": q27, "q28_multi_level": q28, "q29_bounds_limit": q29,
     "q30_catalog": q30, "q31_relationships_long": q31, "q32_shard_assignment": q32,
+    "q43_by_id_bytes": q43, "q44_enum_strict": q44, **_stored("native"), **_stored("packed"), **_stored("plain"),
 }
 
 
@@ -374,3 +439,17 @@ ORACLE_SQL = {
     "q31_relationships_long": f"with {_BOX} select id, 'supplier' as relationship, cast(row_number() over (partition by id order by supplier) - 1 as int) as pos, cast(supplier as bigint) as related_id from link",
     "q32_shard_assignment": f"with x as (select event_id as id from events), {_murmur()} select id, (h1 >> 3) & 15 as shard, h1 & 7 as minishard from k9",
 }
+ORACLE_SQL |= {
+    "q43_by_id_bytes": f"with {_BOX}, one as (select box.id, 28 + 4 + 8 * count(supplier) as b from box left join link on box.id = link.id group by box.id) select count(*) as n, cast(sum(b) as bigint) as bytes from one",
+    "q44_enum_strict": f"with {_PTS} select id, case when event_type in ('purchase', 'error') then event_type else 'signup' end as kind from pts where event_type not in ('view', 'click') and {_IN('x y z', *POINTS)}",
+}
+for _layout in ("native", "packed", "plain"):
+    for _name, _like in (("q33_scan", "q24_roundtrip_by_id"), ("q35_related", "q05_by_relationship"), ("q36_related_full", "q06_by_relationship_full"), ("q38_cell", "q17_cell_scan"), ("q41_cells", "q16_cell_assign")):
+        ORACLE_SQL[f"{_name}_{_layout}"] = ORACLE_SQL[_like]
+    ORACLE_SQL |= {
+        f"q34_by_ids_{_layout}": f"with {_BOX} select pos, {_ALL} from (values (0, 41), (1, 7), (2, 99), (3, 7)) as v(pos, k) join box on id = k",
+        f"q37_related_none_{_layout}": f"with {_BOX} select {_ALL} from box where false",
+        f"q39_bounds_{_layout}": f"with {_BOX} select {_ALL} from box where {_BOXES(WIDE)}",
+        f"q40_bounds_limit_{_layout}": f"with {_BOX} select {_ALL} from box where {_BOXES(WIDE)} order by id limit 5",
+        f"q42_level_{_layout}": f"with {_CELLS} select 'spatial0' as key, 5::bigint as n0, 4::bigint as n1, 4::bigint as n2, 16::double as s0, 32::double as s1, 32::double as s2, (select max(n) from (select count(*) as n from cell group by c0, c1, c2)) as most",
+    }

@@ -5,27 +5,34 @@ A plain store has a file per key, named by the decimal id or by the cell's indic
 index, the values, and the minishard indexes (keys and offsets as differences, then sizes; all ranges
 count from the end of the head). Files are listed and read by Spark, so any file system serves for
 reading; writing goes through the file systems that pyarrow knows.
+
+Lookups name the files that hold their keys and read no other: one per key of a plain store, one
+shard (of the size that the parameters aim at) per key of a sharded one, of which only the minishards
+and values asked for are taken apart.
 """
 
 from __future__ import annotations
 
 import gzip
+import itertools
 import json
+import math
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.functions import morton
-from loamgrid.functions.sharding import ShardSpec, choose_spec, shard_column
-from loamgrid.operators.annotation_set import AnnotationSet
+from loamgrid.functions import geometry, morton
+from loamgrid.functions.sharding import ShardSpec, choose_spec, shard_and_minishard, shard_column
+from loamgrid.operators.annotation_set import ID_LIST, AnnotationSet
 from loamgrid.operators.builder import check_ids
 from loamgrid.plans.metadata import Info, Level
-from loamgrid.session import read_text, ship, write_text
+from loamgrid.session import exists, read_text, ship, write_text
 
 from . import codec
 from .store import full_info
@@ -57,10 +64,11 @@ def build_shard(entries: list[tuple[int, int, bytes]], spec: ShardSpec) -> bytes
     return b"".join(struct.pack("<QQ", a, b) for a, b in head) + b"".join(body)
 
 
-def parse_shard(data: bytes, spec: ShardSpec) -> Iterator[tuple[int, bytes]]:
-    """``(key, value)`` of every entry of a shard file."""
+def parse_shard(data: bytes, spec: ShardSpec, wanted: Collection[int] | None = None) -> Iterator[tuple[int, bytes]]:
+    """``(key, value)`` of every entry of a shard file, or of the ``wanted`` keys in it."""
     base = 16 << spec.minishard_bits
-    for m in range(1 << spec.minishard_bits):
+    own = range(1 << spec.minishard_bits) if wanted is None else sorted(set(shard_and_minishard(np.array(list(wanted), np.int64), spec)[1].tolist()))
+    for m in own:
         a, b = struct.unpack_from("<QQ", data, 16 * m)
         if a == b:
             continue
@@ -70,6 +78,8 @@ def parse_shard(data: bytes, spec: ShardSpec) -> Iterator[tuple[int, bytes]]:
         keys = np.cumsum(keys, dtype=np.uint64)
         starts = np.cumsum(gaps, dtype=np.uint64) + np.concatenate([[np.uint64(0)], np.cumsum(sizes, dtype=np.uint64)[:-1]])
         for key, start, size in zip(keys.tolist(), starts.tolist(), sizes.tolist()):
+            if wanted is not None and key not in wanted:
+                continue
             value = data[base + start : base + start + size]
             yield key, gzip.decompress(value) if spec.data_encoding == "gzip" else value
 
@@ -122,18 +132,37 @@ def _write_store(values: DataFrame, folder: str, spec: ShardSpec | None) -> int:
     return rows.mapInArrow(files_of, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
-def _read_store(spark: SparkSession, folder: str, sharding: dict | None) -> DataFrame:
-    """``key, value`` of a store; keys as text."""
+def _files(spark: SparkSession, folder: str, sharding: dict | None, keys: Sequence[int | str]) -> list[str]:
+    """The files of a store that may hold the keys, as far as they exist."""
+    if sharding is None:
+        names = {str(k) for k in keys}
+    else:
+        spec = ShardSpec.from_json(sharding)
+        names = {shard_name(s, spec) for s in shard_and_minishard(np.array(keys, np.int64), spec)[0].tolist()}
+    return [f for f in (f"{folder}/{n}" for n in sorted(names)) if exists(spark, f)]
+
+
+def _read_store(spark: SparkSession, folder: str, sharding: dict | None, keys: Sequence[int | str] | None = None) -> DataFrame:
+    """``key, value`` of a store or of some of its keys (a short list); keys as text."""
+    files = spark.read.format("binaryFile")
+    if keys is not None:
+        paths = _files(spark, folder, sharding, keys)
+        if not paths:
+            return spark.createDataFrame([], "key string, value binary")
+        files = files.load(paths)
+    elif sharding is None:
+        files = files.load(folder)
+    else:
+        files = files.option("pathGlobFilter", "*.shard").load(folder)
     if sharding is None:
-        files = spark.read.format("binaryFile").load(folder)
         return files.select(F.element_at(F.split("path", "/"), -1).alias("key"), F.col("content").alias("value"))
-    spec = ShardSpec.from_json(sharding)
+    spec, wanted = ShardSpec.from_json(sharding), None if keys is None else frozenset(keys)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
                 keys, values, size = [], [], 0
-                for key, value in parse_shard(data.as_py(), spec):
+                for key, value in parse_shard(data.as_py(), spec, wanted):
                     keys.append(str(key))
                     values.append(value)
                     size += len(value)
@@ -143,7 +172,6 @@ def _read_store(spark: SparkSession, folder: str, sharding: dict | None) -> Data
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values, pa.binary())], ["key", "value"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.shard").load(folder)
     return files.select("content").mapInArrow(parse, "key string, value binary")
 
 
@@ -188,8 +216,64 @@ def write(data: AnnotationSet, path: str, sharded: bool = True, unique_ids: bool
     return info
 
 
-def read(spark: SparkSession, path: str) -> AnnotationSet:
-    """Open an interchange set. Annotations come from the store by id; cells from the spatial levels."""
+@dataclass
+class StoredSet(AnnotationSet):
+    """A set in the interchange layout: lookups by id, object and cell go to the files of their keys.
+
+    A box is answered from the cells of every level that it needs, so it finds what the writer put
+    there (ours puts an annotation into every cell that its bounding box touches). Where a lookup
+    needs more than ``ID_LIST`` keys, and where other levels than the written ones are asked for, the
+    stores are read as a whole."""
+
+    path: str = ""
+    written: Info | None = None
+
+    def _by_key(self, ids: Sequence[int]) -> DataFrame:
+        spark = self.table.sparkSession
+        values = _read_store(spark, f"{self.path}/{self.written.by_id_key}", self.written.by_id_sharding, list(ids))
+        return codec.decode_by_id(values.select(F.col("key").cast("bigint").alias("id"), "value"), self.schema)
+
+    def _with_links(self, hits: DataFrame) -> DataFrame:
+        """Whole annotations of the ids of ``hits``."""
+        ids = [r.id for r in hits.select("id").limit(ID_LIST + 1).collect()]
+        if len(ids) <= ID_LIST:
+            return self._by_key(sorted(set(ids))).select(*self._columns())
+        return self.scan().join(hits.select("id").distinct(), "id", "left_semi").select(*self._columns())
+
+    def by_relationship(self, relationship: str, related_id: int, with_relationships: bool = False) -> DataFrame:
+        self._check_relationship(relationship)
+        hits = read_relationship(self.table.sparkSession, self.path, self.written, relationship, [int(related_id)]).dropDuplicates(["id"])
+        return self._with_links(hits) if with_relationships else hits.select(*self._columns(False))
+
+    def _in_cells(self, level: int | str, ranges: list[tuple[int, int]], with_relationships: bool) -> DataFrame:
+        count = math.prod(b - a + 1 for a, b in ranges)
+        if self.info is not self.written or count > ID_LIST:
+            return super()._in_cells(level, ranges, with_relationships)
+        own = self.written.levels[self.level(level)[0]]
+        rank = self.schema.rank
+        cells = list(itertools.product(*[range(a, b + 1) for a, b in ranges]))
+        keys = ["_".join(map(str, c)) for c in cells] if own.sharding is None else [morton.encode_cell(c, own.grid_shape) for c in cells]
+        rows = codec.decode_groups(_read_store(self.table.sparkSession, f"{self.path}/{own.key}", own.sharding, keys), self.schema)
+        found = rows.select("*", *[c.alias(f"c{d}") for d, c in enumerate(_cell_of(own, rank))]).drop("key")
+        if not with_relationships or not self.schema.relationships:
+            return found.select(*self._columns(with_relationships), *[f"c{d}" for d in range(rank)])
+        names = [f"c{d}" for d in range(rank)]
+        return self._with_links(found).join(found.select("id", *names), "id").select(*self._columns(), *names)
+
+    def in_bounds(self, lower: Sequence[float], upper: Sequence[float], limit: int | None = None, exact: bool = False, dedupe: bool = True, with_relationships: bool = False) -> DataFrame:
+        box = geometry.check_box(lower, upper, self.schema.rank)
+        needed = [math.prod(b - a + 1 for a, b in self.level(x.key)[1].query_range(*box)) for x in self.levels()]
+        if not dedupe or self.info is not self.written or not needed or max(needed) > ID_LIST:
+            return super().in_bounds(lower, upper, limit, exact, dedupe, with_relationships)
+        hits = super().in_bounds(lower, upper, None, exact, False, False).dropDuplicates(["id"])
+        hits = hits if limit is None else hits.orderBy("id").limit(limit)
+        if not with_relationships or not self.schema.relationships:
+            return hits
+        return self._with_links(hits).orderBy("id") if limit is not None else self._with_links(hits)
+
+
+def read(spark: SparkSession, path: str) -> StoredSet:
+    """Open an interchange set. Scans read the store by id; lookups read the files of their keys."""
     ship(spark)
     info = Info.from_json(json.loads(read_text(spark, f"{path}/info")))
     schema = info.schema
@@ -201,7 +285,15 @@ def read(spark: SparkSession, path: str) -> AnnotationSet:
     for i, x in enumerate(info.levels):
         own = read_cells(spark, path, info, x.key).select(F.lit(i).alias("level"), "*")
         cells = own if cells is None else cells.unionAll(own)
-    return AnnotationSet(schema, table, info, None, cells)
+    return StoredSet(schema, table, info, None, cells, path=path, written=info)
+
+
+def _cell_of(level: Level, rank: int) -> list[Column]:
+    """The cell's indices from the column ``key`` of a level's store."""
+    if level.sharding is None:
+        part = F.split("key", "_")
+        return [F.get(part, F.lit(d)).cast("bigint") for d in range(rank)]
+    return morton.decode(F.col("key").cast("bigint"), level.grid_shape)
 
 
 def read_cells(spark: SparkSession, path: str, info: Info, key: str) -> DataFrame:
@@ -217,20 +309,16 @@ def read_cells(spark: SparkSession, path: str, info: Info, key: str) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.string()), pa.array(own)], ["key", "id"])
 
     rows = _read_store(spark, f"{path}/{key}", level.sharding).mapInArrow(ids, "key string, id bigint")
-    if level.sharding is None:
-        part = F.split("key", "_")
-        cell = [F.get(part, F.lit(d)).cast("bigint") for d in range(rank)]
-        code = morton.encode(cell, level.grid_shape)
-    else:
-        code = F.col("key").cast("bigint")
-        cell = morton.decode(code, level.grid_shape)
+    cell = _cell_of(level, rank)
+    code = morton.encode(cell, level.grid_shape) if level.sharding is None else F.col("key").cast("bigint")
     return rows.select(*[c.alias(f"c{d}") for d, c in enumerate(cell)], code.alias("morton"), "id")
 
 
-def read_relationship(spark: SparkSession, path: str, info: Info, relationship: str) -> DataFrame:
-    """``related_id`` and the annotations stored under it, without relationship lists."""
+def read_relationship(spark: SparkSession, path: str, info: Info, relationship: str, objects: Sequence[int] | None = None) -> DataFrame:
+    """``related_id`` and the annotations stored under it (or under some objects, a short list), without
+    relationship lists."""
     if relationship not in info.schema.relationships:
         raise ValueError(f"unknown relationship {relationship!r}")
-    values = _read_store(spark, f"{path}/{info.relation_keys[relationship]}", info.relation_sharding.get(relationship))
+    values = _read_store(spark, f"{path}/{info.relation_keys[relationship]}", info.relation_sharding.get(relationship), objects)
     rows = codec.decode_groups(values, info.schema)
     return rows.select(F.col("key").cast("bigint").alias("related_id"), *rows.columns[1:])

@@ -69,6 +69,52 @@ def test_interchange_round_trip(spark, tmp_path, kind, sharded):
     linked = interchange.read_relationship(spark, path, info, "a")
     assert sorted((r.related_id, r.id) for r in linked.collect()) == sorted((r.related_id, r.id) for r in data.links().where("relationship = 'a'").collect())
     validate_json(json.loads((tmp_path / "set" / "info").read_text()), "annotation")
+    # lookups give what the set in memory gives
+    same(data.by_ids([105, 101, 105, 7], "skip"), back.by_ids([105, 101, 105, 7], "skip"))
+    assert back.get(139).id == 139 and set(back.by_id(7).columns) == set(data.by_id(7).columns) and back.by_id(7).count() == 0
+    for full in (False, True):
+        same(data.by_relationship("a", 6, full), back.by_relationship("a", 6, full))
+        assert back.by_relationship("a", 999, full).count() == 0
+        same(data.in_cell(0, (1, 2, 1), full), back.in_cell(0, (1, 2, 1), full))
+        for box in (([5, 5, 5], [19, 9, 39]), ([-9, 41, 0], [-5, 90, 1])):
+            same(data.in_bounds(*box, with_relationships=full), back.in_bounds(*box, with_relationships=full))
+            same(data.in_bounds(*box, dedupe=False, with_relationships=full), back.in_bounds(*box, dedupe=False, with_relationships=full))
+    assert [r.id for r in back.in_bounds([0] * 3, [40] * 3, limit=7, with_relationships=True).collect()] == list(range(100, 107))
+    fine = [data.with_levels([3.0]), back.with_levels([3.0])]  # levels that were not written
+    same(*[x.in_cell(0, (1, 2, 1)) for x in fine])
+    same(*[x.in_bounds([5, 5, 5], [19, 9, 39]) for x in fine])
+
+
+@pytest.mark.parametrize("sharded", [False, True])
+def test_interchange_lookups_read_their_files_alone(spark, tmp_path, sharded, monkeypatch):
+    data = small(spark, "axis_aligned_bounding_box", n=60)
+    # small shards, so that there are several
+    many = interchange.ShardSpec(0, "murmurhash3_x86_128", 1, 3)
+    monkeypatch.setattr(interchange, "choose_spec", lambda n, size: many)
+    path = tmp_path / "set"
+    info = interchange.write(data, str(path), sharded)
+    back = interchange.read(spark, str(path))
+
+    def spoil(folder, *keys):
+        """Leave the files of the keys alone and make all others unreadable."""
+        spec = many if sharded else None
+        kept = {interchange.shard_name(int(s), spec) for s in interchange.shard_and_minishard(np.array(keys), spec)[0]} if sharded else {str(k) for k in keys}
+        others = [f for f in (path / folder).iterdir() if not f.name.startswith(".") and f.name not in kept]
+        assert others
+        for f in others:
+            f.write_bytes(b"broken")
+
+    spoil("by_id", 110, 111)
+    same(data.by_ids([111, 110]), back.by_ids([111, 110]))
+    spoil("rel_b", 104)
+    same(data.by_relationship("b", 104), back.by_relationship("b", 104))
+    if sharded:
+        cell = interchange.morton.encode_cell((1, 1, 1), info.levels[0].grid_shape)
+        spoil(info.levels[0].key, cell)
+    else:
+        spoil(info.levels[0].key, "1_1_1")
+    same(data.in_cell(0, (1, 1, 1)), back.in_cell(0, (1, 1, 1)))
+    same(data.in_bounds([12] * 3, [18] * 3), back.in_bounds([12] * 3, [18] * 3))
 
 
 def test_shard_file_layout():
