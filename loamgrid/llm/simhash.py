@@ -5,11 +5,13 @@ at most t bits, some start segment has all its chains within proportional budget
 segments from there differ in at most floor(l * t / m) bits together, for every l. With t = 4 and
 m = 5 that is 0, 1, 2, 3, 4 bits. The first two links are the bucket key (first segment equal,
 second equal but for one masked bit); the third and fourth prune inside a bucket before the full
-Hamming check. Buckets link their members by a spanning forest, never by all pairs.
+Hamming check. Buckets link their members by a spanning forest, never by all pairs; a large bucket of
+unlike members is cut further by pieces of the remaining bits.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,10 @@ from .components import components
 BITS = 64
 SEED = 42
 _CHUNK = 65_536
+#: Rows from which a bucket may be cut, and comparisons per row after which it is.
+LARGE, WORK = 4_096, 512
+#: Rows of a part of such a bucket up to which its rows are compared shift by shift.
+_PART = 512
 #: Ids from here on stand for fingerprints of which no document has an id to give; documents' ids are smaller.
 UNNAMED = 1 << 62
 
@@ -98,15 +104,19 @@ class Ring:
             ok &= np.bitwise_count(x & np.uint64(self.chain_mask(start, length))) <= self.budgets[length - 1]
         return ok if self.m > 2 else np.bitwise_count(x) <= self.max_distance
 
-    def forest(self, start: int, fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def forest(self, start: int, fps: np.ndarray, large: int = LARGE) -> list[tuple[np.ndarray, np.ndarray]]:
         """Links that span each connected part of a bucket: whoever is reached leaves the rest, so a
-        dense bucket costs about its size."""
+        dense bucket costs about its size. A large one that has taken ``WORK`` comparisons a row goes
+        on by ``cut`` with the parts not yet begun, which have no link to the finished ones."""
         found = []
-        rest = fps
+        rest, budget = fps, WORK * len(fps)
         while len(rest) > 1:
+            if budget < 0 and len(rest) > large and self.m > 2:  # with two segments no bits lie beyond the key
+                return found + self.cut(start, rest)
             seeds, rest = [rest[0]], rest[1:]
             while seeds and len(rest):
                 p = seeds.pop()
+                budget -= len(rest)
                 ok = self.passing(start, rest ^ p)
                 if ok.any():
                     hits, rest = rest[ok], rest[~ok]
@@ -114,6 +124,45 @@ class Ring:
                     seeds.extend(hits)
         return found
 
+    def pieces(self, start: int) -> list[int]:
+        """Masks of ``max_distance + 2`` pieces of the bits beyond the key; pairs that link are equal in two
+        of them at least."""
+        beyond = [o + i for k in range(2, self.m) for s in [(start + k) % self.m] for o in [self.offsets[s]] for i in range(self.widths[s])]
+        return [sum(1 << int(b) for b in own) for own in np.array_split(beyond, self.max_distance + 2) if len(own)]
+
+    def cut(self, start: int, fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Links that connect what ``forest`` would, from rows that are equal in two pieces. Rows
+        already known to be connected are not compared again."""
+        found = []
+        label = np.arange(len(fps))  # points to a row of the same connected part
+        for one, two in itertools.combinations(self.pieces(start), 2):
+            key = fps & np.uint64(one | two)
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(cuts, len(key)))
+            for at, n in zip(cuts[size > _PART].tolist(), size[size > _PART].tolist()):
+                found += self.forest(start, fps[order[at : at + n]], len(fps))
+            left = np.repeat(np.append(cuts[1:], len(key)), size) - np.arange(len(key))  # rows from here to the part's end
+            at = np.flatnonzero(np.repeat(size <= _PART, size))
+            for shift in range(1, _PART):
+                at = at[left[at] > shift]
+                if not len(at):
+                    break
+                a, b = order[at], order[at + shift]
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+                ok = np.bitwise_count(fps[a] ^ fps[b]) <= self.max_distance
+                a, b = a[ok], b[ok]
+                ok = self.passing(start, fps[a] ^ fps[b])
+                a, b = a[ok], b[ok]
+                if len(a):
+                    found.append((fps[a], fps[b]))
+                    np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+                    while (label[label] != label).any():
+                        label = label[label]
+        return found
+
 
 def _bucket_links(ring: Ring):
     """mapInArrow function over rows sorted by key: links within each run of equal keys."""

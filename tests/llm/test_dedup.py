@@ -93,6 +93,47 @@ def test_ring_budgets():
         simhash.Ring(4, segments=4)
 
 
+def test_large_bucket_of_unlike_members():
+    """Cutting a bucket connects what comparing all its pairs connects, and unlike members cost no square."""
+    ring, rng = simhash.Ring(4), np.random.default_rng(7)
+
+    def parts(fps, links):
+        up = {int(f): int(f) for f in fps}
+
+        def root(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for a, b in links:
+            for x, y in zip(a.tolist(), b.tolist()):
+                x, y = root(x), root(y)
+                up[max(x, y)] = min(x, y)
+        return [root(int(f)) for f in fps]
+
+    for start in range(ring.m):
+        first = np.uint64(ring.chain_mask(start, 2))
+        free = np.array([b for b in range(64) if not int(first) >> b & 1], np.uint64)
+        fps = rng.integers(0, 1 << 64, 1500, dtype=np.uint64) & ~first | np.uint64(0x0123456789ABCDEF) & first
+        near = fps[rng.integers(0, len(fps), 1500)]
+        for _ in range(4):
+            near = near ^ np.uint64(1) << rng.choice(free, len(near))
+        dense = fps[0] ^ (np.uint64(1) << free[:, None] | np.uint64(1) << free[None, :]).ravel()
+        fps = rng.permutation(np.unique(np.concatenate([fps, near, dense])))
+        x = fps[:, None] ^ fps[None, :]
+        a, b = np.nonzero(np.triu(np.bitwise_count(x) <= 4, 1))
+        ok = ring.passing(start, x[a, b])
+        want = parts(fps, [(fps[a[ok]], fps[b[ok]])])
+        assert parts(fps, ring.cut(start, fps)) == want
+        assert parts(fps, ring.forest(start, fps)) == want
+        assert sum(len(a) for a, _ in ring.cut(start, fps)) < 20 * len(fps)
+    many = rng.integers(0, 1 << 64, 200_000, dtype=np.uint64) & ~first
+    began = time.time()
+    ring.forest(ring.m - 1, np.unique(many))
+    assert time.time() - began < 60
+
+
 def test_components(spark):
     rnd = random.Random(1)
     chain = [(i, i + 1) for i in range(100, 160)]
