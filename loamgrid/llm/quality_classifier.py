@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, settle
+from .common import settle
 
 WAVES, RIDGE, SEED = 128, 1e-3, 11
 FOLDS = 5
@@ -220,11 +220,9 @@ def keep_good(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFr
     """The rows of ``docs`` predicted good, with their columns as they are.
 
     The fit is on ``labelled`` (``doc_id``, ``text``), which may hold more than ``docs``: what earlier
-    stages have rejected is still what a bad document looks like. Only texts that the fit uses are
-    read. Null and empty texts are scored like any other; repeated rows get equal scores; rows of null
+    stages have rejected is still what a bad document looks like. Null and empty texts are scored like any other; repeated rows get equal scores; rows of null
     ``doc_id`` are scored, not learned from; without labels the score is 0.5 and all rows stay; an
     empty table stays empty; other columns of any name are kept and not looked at."""
-    known = settle(labels.where("doc_id is not null and quality is not null").select("doc_id").distinct().where(fold("doc_id") != 0), "labelled-ids")
-    rows = labelled.select("doc_id", "text").join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "doc_id", "left_semi")
-    model = fit(settle(rows.select("doc_id", features("text").alias("f")), "text-features"), labels)
+    # statistics are taken where the texts lie: a join for the labelled ones alone would shuffle every text
+    model = fit(settle(labelled.select("doc_id", features("text").alias("f")), "text-features"), labels)
     return docs.where(score(model, features("text")) >= THRESHOLD)
