@@ -373,3 +373,18 @@ def test_sampled_grams():
         assert all(any(i <= x < i + 12 for x in at) for i in range(n - 34))
     same = np.full(60, 7, np.uint64)
     assert len(set(passages.sampled_grams(same, 46)[1].tolist())) == 1
+
+
+@pytest.mark.parametrize("rows, ids", [(0, 0), (0, 10**6), (10**6, 10**6)])
+def test_cut_repeats_by_any_join(spark, monkeypatch, rows, ids):
+    """Spans reach their texts by a broadcast, by broadcast ids or by a plain join, with one result."""
+    monkeypatch.setattr(passages, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(passages, "ID_ROWS", ids)
+    words = prose(random.Random(5), 400)
+    words = words.split() if isinstance(words, str) else list(words)
+    shared = " ".join(words[:70])
+    table = [(1, f"{shared} first"), (2, f"{' '.join(words[100:130])} {shared} second"), (3, " ".join(words[200:300])), (4, None), (None, shared)]
+    got = passages.cut_repeats(spark.createDataFrame(table, "doc_id bigint, text string"))
+    kept = {r.doc_id: r.text for r in got.collect()}
+    assert len(kept) == 5 and kept[1] == table[0][1] and kept[3] == table[2][1] and kept[4] is None and kept[None] == shared
+    assert kept[2] == f"{' '.join(words[100:130])} second"
