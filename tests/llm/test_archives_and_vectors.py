@@ -81,18 +81,57 @@ def ranked(got):
     return out
 
 
-def test_recall(spark):
-    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = table.collect()
-    want = brute([r.vec_id for r in rows], [r.embedding for r in rows])
-    got = ranked(rp_forest.nearest(table, "vec_id", "embedding", leaf=100).collect())
+def check_recall(table, id_col, vector_col, least):
+    """Production parameters against brute force; the scores are exact."""
+    rows = table.select(id_col, vector_col).collect()
+    want = brute([r[0] for r in rows], [r[1] for r in rows])
+    got = ranked(rp_forest.nearest(table, id_col, vector_col).collect())
     assert got.keys() == want.keys() and all(len(x) == 5 for x in got.values())
     scores = {q: dict(x) for q, x in want.items()}
     hits = [v in scores[q] for q, x in got.items() for v, _ in x]
-    assert np.mean(hits) >= 0.9
+    assert np.mean(hits) >= least
     assert all(s == pytest.approx(scores[q][v], abs=1e-12) for q, x in got.items() for v, s in x if v in scores[q])
 
 
+def test_recall(spark):
+    check_recall(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), "vec_id", "embedding", 0.9)
+
+
+def test_recall_without_and_with_clusters(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 32))
+    for x in (rng.normal(size=(12_000, 32)), centres[rng.integers(0, 60, 12_000)] + 0.3 * rng.normal(size=(12_000, 32))):
+        check_recall(spark.createDataFrame(list(enumerate(x.tolist())), "id bigint, v array<double>"), "id", "v", 0.9)
+
+
+def test_leaves_follow_the_data():
+    """Below the fitted part nodes share directions; near neighbours keep the walk short."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(300, 32))
+    x = centres[rng.integers(0, 300, 60_000)] + 0.3 * rng.normal(size=(60_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    small = rp_forest.fit(x[:512], 60_000, 32, leaf=100)
+    assert small.fitted == 6 and small.depth == 10 and small.shared.shape == (4, 4, 32)
+    sizes = np.bincount(small.leaves(x, 0), minlength=1024)
+    assert sizes.sum() == 60_000 and len(sizes) == 1024 and (sizes > 0).mean() > 0.9
+    for forest in (small, rp_forest.fit(x[:20_000], 60_000, 32)):
+        own = [forest.leaves(x, t) for t in range(4)]
+        read, found, all_ = [], [], len(x)
+        for i in range(0, 60_000, 1000):
+            s = x @ x[i]
+            near = np.argsort(-s)[1:6]
+            first = np.isin(own[0], [leaf for _, leaf in forest.search(x[i], rp_forest.FIRST, trees=1)])
+            within = rp_forest.REACH * np.sqrt(max(0.0, 2 - 2 * np.sort(s[first])[-6])) / 32**0.5
+            walk = forest.search(x[i], within=within)
+            assert {(t, int(own[t][i])) for t in range(4)} <= set(walk) and len(set(walk)) == len(walk)
+            seen = np.zeros(all_, bool)
+            for t in range(4):
+                seen |= np.isin(own[t], [leaf for tree, leaf in walk if tree == t])
+            read.append(seen.mean())
+            found.append(seen[near].mean())
+        assert np.mean(found) >= 0.9 and np.mean(read) < 0.25
+
+
 def test_copies_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(4)
     hot = [1.0, 2.0, 0.5]
