@@ -3,7 +3,7 @@
 Per language and source a minimum-covariance-determinant (MCD) estimate of location and scatter is
 fitted to transformed text statistics: from two deterministic starts (coordinate-wise robust scale,
 and plain moments) concentration steps keep the share ``SUPPORT`` of rows with the smallest
-Mahalanobis distances until the last step; the start with the smaller determinant wins, and one
+Mahalanobis distances until the determinants settle; the start with the smaller determinant wins, and one
 reweighting step follows. Rows whose distance to it exceeds the cutoff are rejected.
 
 Every step is one pass over the small statistics table: moments and distance histograms are summed
@@ -23,9 +23,11 @@ from .common import SPACES, join_small, settle
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SUPPORT = 0.75
-STEPS = 4
-#: A group below this size borrows the estimate of its language, and that one's of all rows.
-MIN_GROUP = 200
+#: A concentration step is taken if it lowers the log determinant by more; else the group's start has settled.
+SETTLED = 0.01
+#: A group below this size (three rows for each of the 5 means and 15 covariances) borrows the
+#: estimate of its language, and that one's of all rows.
+MIN_GROUP = 60
 #: Below this size there is no estimate, and only the base rules decide.
 MIN_FIT = 50
 #: Chi-square quantile of the reweighting step, and tail probability of the rejection.
@@ -181,9 +183,9 @@ def _start(rows: DataFrame) -> DataFrame:
     each = ranked.groupBy("g", "f").agg(at(0.5).alias("mid"), ((at(0.75) - at(0.25)) / 1.349).alias("scale"), F.first(F.get(F.array(*[F.lit(FLOOR[f]) for f in FEATURES]), F.col("f"))).alias("floor"))
     ordered = each.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("f", "mid", (1 / (F.col("scale") * F.col("scale") + F.col("floor") * F.col("floor"))).alias("w")))).alias("e"))  # one entry per feature
     inv = F.array(*[F.get(F.col("e"), F.lit(i)).w if i == j else F.lit(0.0) for i in range(_P) for j in range(_P)])
-    robust = ordered.select("g", F.lit(0).alias("k"), F.transform("e", lambda s: s.mid).alias("m"), inv.alias("inv"), F.lit(0.0).alias("logdet"))
+    robust = ordered.select("g", F.lit(0).alias("k"), F.transform("e", lambda s: s.mid).alias("m"), inv.alias("inv"), F.lit(float("inf")).alias("logdet"))
     plain = _solve(rows.groupBy("g").agg(*_moments([F.col(f"x{i}") for i in range(_P)])), ["g"], 1.0)
-    return robust.unionAll(plain.select("g", F.lit(1).alias("k"), "m", "inv", "logdet"))
+    return robust.unionAll(plain.select("g", F.lit(1).alias("k"), "m", "inv", F.lit(float("inf")).alias("logdet")))
 
 
 def _per_group(params: DataFrame) -> DataFrame:
@@ -192,18 +194,28 @@ def _per_group(params: DataFrame) -> DataFrame:
     return params.groupBy("g").agg(pick(0), pick(1))
 
 
+def _lowered(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The step where it lowers the determinant, what was before elsewhere; ``moved`` says which. (Ties
+    in a bin change how many rows a step keeps, so that it could also raise it, and run in circles.)"""
+    new = before.select("g", "k", F.struct("m", "inv", "logdet").alias("b")).join(after.select("g", "k", F.struct("m", "inv", "logdet").alias("a")), ["g", "k"])
+    moved = F.col("a.logdet") < F.col("b.logdet") - SETTLED
+    return new.select("g", "k", moved.alias("moved"), F.when(moved, F.col("a")).otherwise(F.col("b")).alias("p")).select("g", "k", "moved", "p.*")
+
+
 def fit(rows: DataFrame) -> DataFrame:
     """``g, m, inv``: the reweighted MCD estimate of every group in ``rows`` (``id``, ``g``, ``x0``...)."""
     x = [F.col(f"x{i}") for i in range(_P)]
     params = settle(_start(rows), "mcd")
-    for _ in range(STEPS):
+    while True:  # determinants fall by a least amount and the floor bounds them
         both = join_small(rows, _per_group(params), ["g"], "id", "inner")
         long = both.select("g", *[f"x{i}" for i in range(_P)], F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _distance(x, F.col(f"p{k}.m"), F.col(f"p{k}.inv")).alias("d")) for k in (0, 1)])).alias("e"))
         bins = long.groupBy("g", F.col("e.k").alias("k"), F.floor(BINS * F.log2(F.col("e.d") + 2.0**-20)).alias("bin")).agg(*_moments(x))
         run = Window.partitionBy("g", "k").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         ranked = bins.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy("g", "k")))
         central = ranked.where(F.col("upto") - F.col("n") < SUPPORT * F.col("all")).groupBy("g", "k").agg(*[F.sum(c).alias(c) for c in _SUMS])
-        params = settle(_solve(central, ["g", "k"], consistency(SUPPORT)), "mcd")
+        params = settle(_lowered(params, _solve(central, ["g", "k"], consistency(SUPPORT))), "mcd")
+        if params.where("moved").isEmpty():
+            break
     best = params.groupBy("g").agg(F.min_by(F.struct("m", "inv"), F.struct("logdet", "k")).alias("p0"))
     near = join_small(rows, best, ["g"], "id", "inner").where(_distance(x, F.col("p0.m"), F.col("p0.inv")) <= chi2_quantile(1 - REWEIGHT, _P))
     return settle(_solve(near.groupBy("g").agg(*_moments(x)), ["g"], consistency(REWEIGHT)).select("g", "m", "inv"), "mcd")

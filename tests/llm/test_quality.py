@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -59,14 +60,18 @@ def numpy_mcd(x):
     bins = np.floor(x / step)
     at = lambda q: np.array([(np.sort(bins[:, i])[int(np.ceil(q * len(x))) - 1] + 0.5) * step[i] for i in range(p)])
     scale = (at(0.75) - at(0.25)) / 1.349
-    starts = [(at(0.5), np.diag(1 / (scale**2 + floor**2)), 0.0), solve(x, 1.0)]
+    starts = [(at(0.5), np.diag(1 / (scale**2 + floor**2))), solve(x, 1.0)[:2]]
     ends = []
-    for m, inv, det in starts:
-        for _ in range(quality_rules.STEPS):
+    for m, inv in starts:
+        det = np.inf
+        while True:
             b = np.floor(quality_rules.BINS * np.log2(distance(m, inv) + 2.0**-20))
             values, counts = np.unique(b, return_counts=True)
             before = np.cumsum(counts) - counts
-            m, inv, det = solve(x[np.isin(b, values[before < quality_rules.SUPPORT * len(x)])], quality_rules.consistency(quality_rules.SUPPORT))
+            new = solve(x[np.isin(b, values[before < quality_rules.SUPPORT * len(x)])], quality_rules.consistency(quality_rules.SUPPORT))
+            if not new[2] < det - quality_rules.SETTLED:
+                break
+            m, inv, det = new
         ends.append((det, m, inv))
     det, m, inv = min(ends, key=lambda e: e[0])
     near = x[distance(m, inv) <= quality_rules.chi2_quantile(1 - quality_rules.REWEIGHT, p)]
@@ -92,6 +97,32 @@ def test_mcd_against_numpy(spark):
         assert np.median(got[:n]) > 10 * np.median(got[n:])
 
 
+def test_mcd_finds_the_least_determinant(spark):
+    """Against all subsets of a small group: outliers are none of those that the estimate rests on."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(16, 5))
+    x[:4] += 40
+    floor = np.diag([quality_rules.FLOOR[f] ** 2 for f in quality_rules.FEATURES])
+    least = min(combinations(range(16), 12), key=lambda c: np.linalg.det(np.cov(x[list(c)].T, bias=True) + floor))
+    assert least == tuple(range(4, 16))
+    df = spark.createDataFrame([("a", *map(float, r)) for r in x], "g string, x0 double, x1 double, x2 double, x3 double, x4 double").selectExpr("*", "xxhash64(x0, x1) as id")
+    (got,) = quality_rules.fit(df).collect()
+    d = x - np.array(got.m)
+    distance = np.einsum("ij,jk,ik->i", d, np.array(got.inv).reshape(5, 5), d)
+    assert distance[:4].min() > quality_rules.chi2_quantile(quality_rules.TAIL, 5) > distance[4:].max()
+    np.testing.assert_allclose(got.m, x[4:].mean(axis=0), atol=0.5)
+
+
+def test_groups_of_language_and_source(spark):
+    """Pairs of sixty rows have an estimate of their own, smaller ones borrow, and ``fitted`` says so."""
+    text = lambda i: " ".join(f"w{(i * 7 + j * j) % 997}" for j in range(60 + i % 40))
+    sizes = {("en", "a"): 60, ("en", "b"): 59, ("en", "c"): 30, ("de", "a"): 40, ("fr", "a"): 20, (None, None): 70}
+    rows = [(1000 * g + i, text(i), *pair) for g, (pair, n) in enumerate(sizes.items()) for i in range(n)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
+    assert Counter((r.doc_id // 1000, r.fitted) for r in got) == {(0, "own"): 60, (1, "lang"): 59, (2, "lang"): 30, (3, "all"): 40, (4, "all"): 20, (5, "own"): 70}
+    assert all(r.kept and not r.base_failed for r in got)
+
+
 def test_chi2():
     assert quality_rules.chi2_quantile(0.05, 5) == pytest.approx(11.0705, abs=1e-3)
     assert quality_rules.chi2_cdf(quality_rules.chi2_quantile(0.2, 7), 7) == pytest.approx(0.8)
