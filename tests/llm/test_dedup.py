@@ -339,6 +339,28 @@ def test_passages_behind_a_first_document_that_holds_most_of_them(spark):
         assert whole == {(2000 + k, 1000 + k) for k in range(30)}
 
 
+def test_passages_that_earlier_documents_hold_in_parts(spark):
+    """Earlier documents hold every gram of a passage in overlapping parts of 34 words: the two that
+    share all of it meet, in the spans and in the cut of the pipeline."""
+    rnd = random.Random(26)
+    fill = lambda n: prose(rnd, n, 10**6).split()
+    rows, must = [], set()
+    for k in range(20):
+        n = (50, 55, 60, 90)[k % 4]
+        words = fill(n)
+        parts = [words[i : i + 34] for i in range(0, n - 27, 6)]
+        for i, own in enumerate([*parts, words, words]):
+            rows.append((1000 * i + k, " ".join([*fill(rnd.randint(0, 80)), *own, *fill(rnd.randint(0, 80))])))
+        must.add((1000 * (len(parts) + 1) + k, 1000 * len(parts) + k, n))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.of_doc_id): r for r in passages.repeated_passages(df).collect()}
+    assert all((d, of) in got and got[d, of].end_word - got[d, of].start_word >= n for d, of, n in must)
+    assert {of for _, of in got} == {of for _, of, _ in must}
+    cut = {r.doc_id: r.text for r in passages.cut_repeats(df).collect()}
+    texts = dict(rows)
+    assert all(len(cut.get(d, "").split()) <= len(texts[d].split()) - n for d, _, n in must)
+
+
 def test_long_repetitive_texts_compare_in_linear_time():
     rnd = random.Random(24)
     line = prose(rnd, 10, 10**6)
