@@ -1,9 +1,12 @@
 """The corpus pipeline, stage by stage, against what each operator says of the stage's input."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
 from loamgrid.llm import passages, quality_rules, simhash
+from tests.llm.conftest import prose
 
 SF = "/root/testdata/sf0.01"
 
@@ -66,3 +69,16 @@ def test_classifier_stage_knows_what_earlier_stages_rejected(spark):
 def test_run_equals_the_stages(spark, stages):
     key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
     assert sorted(map(key, corpus_pipeline.run(spark, SF).collect())) == sorted(map(key, stages["best_fit_packing"].collect()))
+
+
+def test_substring_stage_cuts_what_earlier_documents_hold_in_parts(spark):
+    """Documents 0 to 5 hold every gram of 60 words, none of them 50: the second that holds all loses it."""
+    rnd = random.Random(27)
+    fill = lambda: prose(rnd, 40, 10**6)
+    words = prose(rnd, 60, 10**6).split()
+    held = [*(words[i : i + 34] for i in range(0, 33, 6)), words, words]
+    rows = [(i, f"{fill()} {' '.join(own)} {fill()}", "en", "s", 0) for i, own in enumerate(held)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = {r.doc_id: r.text.split() for r in corpus_pipeline.STAGES[3][1](spark, df, SF).collect()}
+    assert all(left[r[0]] == r[1].split() for r in rows[:-1])
+    assert left[len(held) - 1] == [w for w in rows[-1][1].split() if w not in words]
