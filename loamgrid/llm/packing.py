@@ -104,8 +104,8 @@ def _packer(capacity: int, slack: int, level: int) -> Callable[[Iterator[pa.Reco
     return run
 
 
-def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """One item per piece: the document's ids and ``end_id``, cut every ``capacity`` ids."""
+def _cutter(path: str, capacity: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows ``doc_id, text``: one item per piece, the document's ids and ``end_id`` cut every ``capacity`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = word_ids(path), np.array([end_id], "<u4").tobytes()
@@ -127,17 +127,19 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: s
             yield pa.RecordBatch.from_arrays([pa.array(fills == whole), pa.nulls(len(fills), pa.int64()), pa.array(fills), parts], schema=_BINS)
         trim()
 
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return source.mapInArrow(run, _BINS_SQL)
+    return run
 
 
-def pack(items: DataFrame, capacity: int, slack: int | None = None) -> DataFrame:
+def pack(source: DataFrame, capacity: int, slack: int | None = None, cut: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
     """Pack items (``closed``, ``sequence_id``, ``fill``, ``parts``) up the tree; one row per piece.
 
+    ``cut`` makes items of the rows of ``source``, in the worker that packs them: a second ``mapInArrow`` in
+    the stage would hold a second worker a task, and in time each of them the tables of ``cut``.
     A round's tasks hold ``CHUNK_ITEMS`` underfull bins each, so there are fewer and fewer of them;
     the last round has one, or saved nothing: bins are dealt anew in every round."""
     slack = max(1, capacity // 256) if slack is None else slack
-    tables = [settle(items.mapInArrow(_packer(capacity, slack, 0), _BINS_SQL), "pack0")]
+    first = _packer(capacity, slack, 0)
+    tables = [settle(source.mapInArrow(first if cut is None else lambda batches: first(cut(batches)), _BINS_SQL), "pack0")]
     open_bins = tables[0].where(~F.col("closed"))
     left = open_bins.count()
     while left > 1:
@@ -179,4 +181,5 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     rows are packed each on its own; ties of length keep the order of rows; an empty table gives no
     rows; other columns of any name are ignored.
     """
-    return pack(cut_pieces(docs, path, capacity, end_id, id_col, text_col), capacity)
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return pack(source, capacity, cut=_cutter(path, capacity, end_id))

@@ -217,3 +217,11 @@ def test_budgets_from_the_stored_table(spark, edge_docs, edge_rows):
             assert r.fit_chars == max([0, *(i + 1 for i, c in enumerate(counts) if c <= limit)])
             assert len(library.encode(text[: r.fit_chars])) <= limit
     table.unpersist()
+
+
+def test_packing_takes_one_worker_a_task(docs, monkeypatch):
+    """Cutting and packing share a worker: each worker keeps the tables of the encoder for good."""
+    plans, settle = [], packing.settle
+    monkeypatch.setattr(packing, "settle", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df, name))
+    packing.pack_documents(docs, WORD)
+    assert plans[0].count("MapInArrow") == 1
