@@ -28,8 +28,11 @@ from pyspark.sql import types as T
 from .common import Cache, settle
 
 SPACE = "▁"
-CACHE_ENTRIES = 600_000
-PAIR_ENTRIES = 2_000_000
+#: Entries of a worker's memo of states (half as many totals more) and of pairs; full, they take about 300 MB.
+CACHE_ENTRIES = 500_000
+PAIR_ENTRIES = 500_000
+#: Different steps that are kept once for all units that have them.
+STEP_ENTRIES = 50_000
 #: Longer units keep no state per prefix.
 LONG_UNIT = 64
 _ONE = [1]
@@ -57,7 +60,7 @@ class PrefixCounter:
             raise ValueError("pieces must hold the space sign in front only")
         self.single = {p for p in self.rank if len(p) == 1}
         #: pieces that the merges reach, by length: only these can end a prefix
-        self.whole = {p for p in self.rank if self._merge(p) == [p]}
+        self.whole = {p: p for p in self.rank if self._merge(p) == [p]}  # the memos hold these very strings
         self.longest = max(map(len, self.whole))
         #: lengths of the pieces by their last two characters, long first, down to the last alone
         self.ends: dict[str, list[int]] = {}
@@ -70,7 +73,8 @@ class PrefixCounter:
         #: neighbours inside some piece; no merge crosses any other pair of characters
         self.inside = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.states, self.totals = Cache(cache_entries), Cache(5 * cache_entries // 2)
+        self.states, self.totals = Cache(cache_entries), Cache(3 * cache_entries // 2)
+        self.step_bytes: dict[bytes, bytes] = {}
 
     def _merge(self, text: str) -> list[str]:
         """The encoding of a short text by its merges: best rank first, leftmost among equals."""
@@ -101,7 +105,7 @@ class PrefixCounter:
         while k and (now := recall(text[:k])) is None:
             k -= 1
         count, last, start = now or (0, "", 0)
-        single, whole, ends, fits = self.single, self.whole, self.ends.get, self._fits
+        single, whole, ends, fits = self.single, self.whole.get, self.ends.get, self._fits
         for i in range(k + 1, len(text) + 1):
             c = text[i - 1]
             if c not in single:
@@ -111,8 +115,8 @@ class PrefixCounter:
                     j = i - n
                     if j < start:
                         continue
-                    last = text[j:i]
-                    if last in whole:
+                    last = whole(text[j:i])
+                    if last:
                         before = self._state(text[:j]) if j else (0, "", 0)
                         if j == start or fits(before[1], last):
                             count = before[0] + 1
@@ -133,6 +137,9 @@ class PrefixCounter:
                 counts = self.unit(unit)
                 found = array("b", [b - a for a, b in zip([0, *counts], counts)]).tobytes()  # OverflowError beyond a byte
             if len(unit) <= LONG_UNIT:
+                found = self.step_bytes.get(found, found)
+                if len(self.step_bytes) < STEP_ENTRIES:
+                    self.step_bytes[found] = found
                 self.totals.put(unit, found)
         return found
 
@@ -141,7 +148,7 @@ class PrefixCounter:
         if len(text) <= LONG_UNIT:
             return [self._state(text[:i])[0] for i in range(1, len(text) + 1)]
         counts, last = [0], [""]
-        single, whole, longest, fits = self.single, self.whole, self.longest, self._fits
+        single, whole, longest, fits = self.single, self.whole.get, self.longest, self._fits
         start = 0
         for i, c in enumerate(text, 1):
             if c not in single:
@@ -150,8 +157,8 @@ class PrefixCounter:
                 start = i
                 continue
             for j in range(max(start, i - longest), i):
-                p = text[j:i]
-                if p in whole and (j == start or fits(last[j], p)):
+                p = whole(text[j:i])
+                if p and (j == start or fits(last[j], p)):
                     break
             else:
                 raise ValueError(f"no piece ends {text[:i]!r}")

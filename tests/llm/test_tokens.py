@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -219,6 +220,19 @@ def test_budgets_from_the_stored_table(spark, edge_docs, edge_rows):
     table.unpersist()
 
 
+def test_memos_of_prefix_counts_fit_beside_an_executor(docs):
+    """All memos of a worker, full: under 350 MB, by what an entry takes on words of the test table."""
+    own = prefix_tokens.PrefixCounter(PIECE)
+    texts = [r.text or "" for r in docs.collect()]
+    tracemalloc.start()
+    for t in texts:
+        own.text_steps(t)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    entries = sum(len(c.new) + len(c.old) for c in (own.states, own.totals)) + len(own.pairs)
+    assert held / entries * (2 * (own.states.limit + own.totals.limit) + prefix_tokens.PAIR_ENTRIES) < 350e6
+
+
 def test_packing_takes_one_worker_a_task(docs, monkeypatch):
     """Cutting and packing share a worker: each worker keeps the tables of the encoder for good."""
     plans, settle = [], packing.settle
