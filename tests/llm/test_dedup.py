@@ -361,6 +361,25 @@ def test_passages_that_earlier_documents_hold_in_parts(spark):
     assert all(len(cut.get(d, "").split()) <= len(texts[d].split()) - n for d, _, n in must)
 
 
+@pytest.mark.parametrize("size, step, middle", [(34, 4, True), (28, 3, False), (40, 5, False)])
+def test_near_copies_that_earlier_documents_hold_in_parts(spark, size, step, middle):
+    """Earlier documents hold all parts of a passage and of its copy with a word changed, doubled or left
+    out, none long enough to repeat them: the passage and its copy meet all the same."""
+    rnd = random.Random(27)
+    fill = lambda n: prose(rnd, n, 10**6).split()
+    rows, must = [], set()
+    for k in range(24):
+        n = (50, 55, 60, 80)[k % 4]
+        words, at = fill(n), n // 2 if middle else rnd.randrange(n)
+        near = [*words[:at], *(["edited"], ["edited", words[at]], [])[k % 3], *words[at + 1 :]]
+        parts = [t[i : i + size] for t in (words, near) for i in range(0, len(t) - size + step, step)]
+        for i, own in enumerate([*parts, words, near]):
+            rows.append((1000 * i + k, " ".join([*fill(rnd.randint(0, 80)), *own, *fill(rnd.randint(0, 80))])))
+        must.add((1000 * (len(parts) + 1) + k, 1000 * len(parts) + k))
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.of_doc_id) for r in got} == must and all(r.similarity >= 0.8 for r in got)
+
+
 def test_long_repetitive_texts_compare_in_linear_time():
     rnd = random.Random(24)
     line = prose(rnd, 10, 10**6)
