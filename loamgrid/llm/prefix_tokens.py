@@ -96,15 +96,24 @@ class PrefixCounter:
             found = self.pairs[a, b] = self._merge(a + b) == [a, b]
         return found
 
-    def _state(self, text: str) -> tuple[int, str, int]:
+    def _state(self, text: str, counts: list[int] | None = None) -> tuple[int, str, int]:
         """Of a prefix of a unit: its tokens, its last piece, and where its last stretch of characters
-        with pieces starts. Words share prefixes, so few characters are new in a new word."""
-        recall = self.states.get
-        k = len(text)
-        now = None
-        while k and (now := recall(text[:k])) is None:
-            k -= 1
-        count, last, start = now or (0, "", 0)
+        with pieces starts. Words share prefixes, so few characters are new in a new word. To ``counts``
+        go the tokens of the prefixes of 1, 2, ... characters."""
+        states = self.states
+        count, last, start = now = 0, "", 0
+        if counts is None:
+            k = len(text)
+            while k and not (now := states.new.get(text[:k]) or states.recall(text[:k])):
+                k -= 1
+        else:
+            k = 0
+            while k < len(text) and (found := states.new.get(text[: k + 1]) or states.recall(text[: k + 1])):
+                now = found
+                counts.append(now[0])
+                k += 1
+        if k:
+            count, last, start = now
         single, whole, ends, fits = self.single, self.whole.get, self.ends.get, self._fits
         for i in range(k + 1, len(text) + 1):
             c = text[i - 1]
@@ -117,13 +126,15 @@ class PrefixCounter:
                         continue
                     last = whole(text[j:i])
                     if last:
-                        before = self._state(text[:j]) if j else (0, "", 0)
+                        before = states.new.get(text[:j]) or self._state(text[:j]) if j else (0, "", 0)
                         if j == start or fits(before[1], last):
                             count = before[0] + 1
                             break
                 else:
                     raise ValueError(f"no piece ends {text[:i]!r}")
-            self.states.put(text[:i], (count, last, start))
+            states.put(text[:i], (count, last, start))
+            if counts is not None:
+                counts.append(count)
         return count, last, start
 
     def steps(self, unit: str) -> bytes:
@@ -146,7 +157,9 @@ class PrefixCounter:
     def unit(self, text: str) -> list[int]:
         """Token counts of the prefixes of 1, 2, ... characters of a unit."""
         if len(text) <= LONG_UNIT:
-            return [self._state(text[:i])[0] for i in range(1, len(text) + 1)]
+            known: list[int] = []
+            self._state(text, known)
+            return known
         counts, last = [0], [""]
         single, whole, longest, fits = self.single, self.whole.get, self.longest, self._fits
         start = 0

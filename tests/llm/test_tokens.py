@@ -233,6 +233,14 @@ def test_memos_of_prefix_counts_fit_beside_an_executor(docs):
     assert held / entries * (2 * (own.states.limit + own.totals.limit) + prefix_tokens.PAIR_ENTRIES) < 350e6
 
 
+def test_prefixes_of_a_unit_are_walked_once(monkeypatch):
+    own, calls = prefix_tokens.PrefixCounter(PIECE), []
+    want = own.unit("▁incontrovertible")
+    state = own._state
+    monkeypatch.setattr(own, "_state", lambda *x: calls.append(x) or state(*x))
+    assert own.unit("▁incontrovertible") == want and len(calls) == 1
+
+
 def test_packing_takes_one_worker_a_task(docs, monkeypatch):
     """Cutting and packing share a worker: each worker keeps the tables of the encoder for good."""
     plans, settle = [], packing.settle
