@@ -3,8 +3,10 @@
 import random
 import re
 import time
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -380,6 +382,54 @@ def test_near_copies_that_earlier_documents_hold_in_parts(spark, size, step, mid
     assert {(r.doc_id, r.of_doc_id) for r in got} == must and all(r.similarity >= 0.8 for r in got)
 
 
+def test_windows_are_taken_where_all_their_grams_are_asked():
+    """Windows of a shared passage are taken whole, those around a lone shared gram are not."""
+    rnd = random.Random(28)
+    token = passages.tokens(prose(rnd, 160, 10**6).encode())
+    text = prose(random.Random(28), 160, 10**6).encode()
+    at, _ = passages.sampled_grams(token, 46)
+
+    def taken(starts):
+        batch = pa.RecordBatch.from_pylist([{"doc_id": 7, "text": text, "asked": [{"starts": [int(x)], "held": None} for x in starts]}])
+        return sorted(c for b in passages._windows_around(46)(iter([batch])) for c in b.column("c").to_pylist())
+
+    assert taken(at[len(at) // 2 :][:1]) == []
+    for first, end in ((40, 100), (0, 46), (100, 156)):  # passages: what is sampled of them alone
+        own, _ = passages.sampled_grams(token[first:end], 46)
+        got = taken(first + own)
+        assert set(range(first, end - 45)) <= set(got) and got[0] > first - 8 and got[-1] < end - 45 + 8
+
+
+def test_documents_that_part_for_good_make_no_windows_with_a_hole(spark):
+    """Documents share thirty words and go on differently: rows are made for near copies alone."""
+    rnd = random.Random(29)
+    fill = lambda n: prose(rnd, n, 10**6).split()
+    shared, tail, words = fill(30), fill(40), fill(60)
+    near = [*words[:30], "edited", *words[31:]]
+    parts = {1: [*shared, *fill(60)], 2: [*shared, *tail], 3: [*shared, *tail], 4: [*shared, *fill(60)], 5: words, 6: near, 7: words[:40] + fill(9), 8: fill(9) + near[20:]}
+    rows = [(d, " ".join([*fill(50), *w, *fill(50)]).encode()) for d, w in parts.items()]
+    asked = [(d, passages.sampled_grams(passages.tokens(t), 46)[0].tolist()) for d, t in rows]
+    source = spark.createDataFrame(rows, "doc_id bigint, text binary")
+    held = spark.createDataFrame([], "doc_id bigint, of bigint, held array<struct<start_word: int, end_word: int>>")
+    got = passages._holed_windows(source, spark.createDataFrame(asked, "doc_id bigint, starts array<int>"), held, 46, 0.8).collect()
+    of_key: dict = {}
+    for r in got:
+        of_key.setdefault(r.key, set()).add(r.doc_id)
+    assert {5, 6} in of_key.values()
+    assert not {r.doc_id for r in got} & {1, 4}
+
+
+def test_tables_that_nothing_reads_are_dropped(spark, planted):
+    """Of the tables in between only those are left that the result reads."""
+    df = spark.createDataFrame(planted[0], "doc_id bigint, text string")
+    root = Path(passages.common.shared_root(spark).removeprefix("file:"))
+    before = {p.name for p in root.iterdir()}
+    passages.repeated_passages(df)
+    left = {p.name.split("-", 1)[0] for p in root.iterdir() if p.name not in before and any(p.rglob("*.parquet"))}
+    assert "passages" in left and not left & {"window", "grams", "wanted", "runs", "parted", "hole"}
+    assert spark.conf.get(passages._CLEANUP) == "false"
+
+
 def test_long_repetitive_texts_compare_in_linear_time():
     rnd = random.Random(24)
     line = prose(rnd, 10, 10**6)
