@@ -126,6 +126,88 @@ def test_shard_file_layout():
         assert sorted(interchange.parse_shard(interchange.build_shard(entries, spec), spec)) == sorted((k, v) for _, k, v in entries)
 
 
+def test_plain_scan_deals_files_to_few_tasks(spark, tmp_path):
+    """The tasks of a scan are a number per core, whatever the number of files; the driver lists none."""
+    data = small(spark, n=90)
+    interchange.write(data, str(tmp_path / "set"), sharded=False)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4194304")
+    try:
+        rows = interchange.read(spark, str(tmp_path / "set")).scan()
+        assert rows.rdd.getNumPartitions() <= interchange.DEAL * spark.sparkContext.defaultParallelism < 90
+        assert not rows.inputFiles()
+        same(data.scan(), rows.select(*data.scan().columns))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+@pytest.mark.parametrize("sharded", [False, True])
+def test_interchange_write_derives_the_set_once(spark, tmp_path, sharded):
+    from dataclasses import replace
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    data = small(spark, n=50)
+    data.bounds()  # kept in the set
+    interchange.write(replace(data, table=data.table.mapInArrow(count, data.table.schema)), str(tmp_path / "set"), sharded)
+    assert seen.value == 50
+    assert not list((tmp_path / "set").glob("rows-*"))
+
+
+def test_shard_is_written_and_read_in_pieces():
+    import io
+    import tracemalloc
+
+    class Sink(io.RawIOBase):
+        size = 0
+
+        def write(self, data):
+            self.size += len(data)
+            return len(data)
+
+    class Counted(io.BytesIO):
+        most = 0
+
+        def read(self, n=-1):
+            self.most = max(self.most, n)
+            return super().read(n)
+
+    spec = interchange.ShardSpec(0, "identity", 1, 0, "gzip", "raw")
+    sink = Sink()
+    tracemalloc.start()
+    shard = interchange.ShardBuilder(spec, sink)
+    for i in range(200):
+        shard.add(i // 100, 2 * (i % 100) + i // 100, bytes(1 << 20))
+    shard.finish()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sink.size > 200 << 20 and peak < 16 << 20
+    entries = [(i % 2, i, bytes([i % 250]) * (3 << 20)) for m in (0, 1) for i in range(m, 14, 2)]
+    file = Counted(interchange.build_shard(entries, spec))
+    pieces = list(interchange._pieces(file, spec, None))
+    assert sorted((k, v) for p in pieces for k, v in interchange._values(file, p, spec)) == sorted((str(k), v) for _, k, v in entries)
+    assert len(pieces) > 2 and file.most <= interchange.PIECE_BYTES + (3 << 20)
+    file.most = 0
+    assert [(k, len(v)) for p in interchange._pieces(file, spec, {6, 400}) for k, v in interchange._values(file, p, spec)] == [("6", 3 << 20)]
+    assert file.most == 3 << 20
+
+
+def test_files_that_spark_alone_can_open(spark, tmp_path, monkeypatch):
+    data = small(spark, n=20)
+    monkeypatch.setattr(interchange, "_known", lambda spark, folder: False)
+    for sharded in (False, True):
+        path = str(tmp_path / f"set{sharded}")
+        interchange.write(data, path, sharded)
+        back = interchange.read(spark, path)
+        same(data.scan(), back.scan().select(*data.scan().columns))
+        same(data.by_ids([105, 101, 7], "skip"), back.by_ids([105, 101, 7], "skip"))
+
+
 def test_native_store(spark, tmp_path):
     data = small(spark, "axis_aligned_bounding_box", n=200)
     path = str(tmp_path / "native")
